@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, lengths
+from tracewright.llm import bpe, chat, html, lengths, ordinal, quality
 from tracewright.llm.common import read_table
 
 
@@ -15,12 +15,20 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.sql("SELECT -7L AS conv_id, k AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(k, role)")
     return chat.digests(chat.read_back(chat.expand(rows.unionByName(odd))))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), word_bpe())
     return coded.select(
@@ -35,9 +43,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.histogram(read_table(spark, sf_dir, "documents"), word_bpe()))
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 neither toxic nor of quality, 2 of quality."""
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    graded = labels.select(F.col("doc_id"), grade.alias("grade")).where("grade IS NOT NULL")
+    sample = graded.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(ordinal.SAMPLE)
+    model = ordinal.fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), F.col("grade"), 3)
+    return ordinal.score(documents, model, tail=2)
+
+
 QUERIES = {
+    "op1_quality_divergence": op1_quality_divergence,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_html_blocks": op4_html_blocks,
     "op5_bpe_tree": op5_bpe_tree,
     "op9_token_counts": op9_token_counts,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 ORACLES = {"op2_chat_formatting": chat.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, html, lengths, ordinal, quality
+from tracewright.llm import bpe, chat, html, lengths, ordinal, pii, quality
 from tracewright.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.expand(rows.unionByName(odd))))
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_pii_boosting": op3_pii_boosting,
     "op4_html_blocks": op4_html_blocks,
     "op5_bpe_tree": op5_bpe_tree,
     "op9_token_counts": op9_token_counts,

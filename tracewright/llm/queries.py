@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, html, lengths, ordinal, pii, quality
+from tracewright.llm import bpe, chat, html, lengths, neardup, ordinal, pii, quality, substring
 from tracewright.llm.common import read_table
 
 
@@ -43,6 +43,15 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read_table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.histogram(read_table(spark, sf_dir, "documents"), word_bpe()))
 
@@ -63,6 +72,8 @@ QUERIES = {
     "op3_pii_boosting": op3_pii_boosting,
     "op4_html_blocks": op4_html_blocks,
     "op5_bpe_tree": op5_bpe_tree,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ordinal_quality": op10_ordinal_quality,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, chat, html, lengths, neardup, ordinal, pii, quality, substring
+from tracewright.llm import bpe, chat, decontaminate, html, lengths, neardup, ordinal, pii, quality, substring
 from tracewright.llm.common import read_table
 
 
@@ -47,6 +47,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -63,7 +67,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = labels.select(F.col("doc_id"), grade.alias("grade")).where("grade IS NOT NULL")
     sample = graded.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(ordinal.SAMPLE)
     model = ordinal.fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), F.col("grade"), 3)
-    return ordinal.score(documents, model, tail=2)
+    return ordinal.score(documents, model, tail=2).withColumnRenamed("selected", "kept")
 
 
 QUERIES = {
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_html_blocks": op4_html_blocks,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ordinal_quality": op10_ordinal_quality,

@@ -522,7 +522,7 @@ def ual_two_events(spark, d):
 
 
 @query(
-    f"""SELECT event_id AS ordinal, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms(ts) % 1000 AS VARCHAR), 3, '0') || '000Z' AS time_created,
+    f"""SELECT event_id AS ordinal, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || '000Z' AS time_created,
       CASE WHEN user_id % 4 < 3 THEN 'AGENT' ELSE '10.9.9.9' END AS dst_computer, CASE WHEN user_id % 4 < 3 THEN '' ELSE 'AGENT' END AS src_computer,
       CASE WHEN user_id % 4 < 3 THEN '10.9.9.9' ELSE '10.0.0.1' END AS src_ip, CASE user_id % 4 WHEN 0 THEN '10' WHEN 1 THEN '3' WHEN 2 THEN 'SSH' ELSE '3' END AS logon_type FROM (SELECT *, {_PORT} AS p FROM events)"""
 )

@@ -82,4 +82,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
-ORACLES = {"op2_chat_formatting": chat.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op8_substring_dedup": substring.ORACLE}

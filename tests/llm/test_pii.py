@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import pii
@@ -57,8 +56,7 @@ def test_base_spans_equal_plain_patterns(spark):
     assert {s.kind for s in by[12].spans} == {"phone", "email", "id"}
     assert not by[13].spans
     assert pii.detect(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        pii.detect(df.withColumnRenamed("kind", "spans"))
+    assert pii.detect(df.withColumnRenamed("kind", "spans")).columns == ["doc_id", "text", "base_spans", "spans"]
 
 
 def test_trees_as_columns_equal_numpy_and_hold_out(spark):

@@ -42,8 +42,10 @@ def test_base_counts_and_verdicts(spark):
     assert not by[n - 4].kept and not by[n - 3].kept and not by[n - 4].base_failed
     assert all(by[k].kept for k in range(9, 39))
     assert quality.quality(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        quality.quality(df.withColumnRenamed("extra", "kept"), carry=("doc_id", "kept"))
+    odd = df.withColumnRenamed("extra", "kept")
+    assert quality.quality(odd, carry=("doc_id", "kept")).columns == ["doc_id", *quality.BASE, "base_failed", "chars_distance", "words_distance", "kept"]
+    stay = quality.accepted(odd)
+    assert stay.columns == odd.columns and stay.count() == sum(r.kept for r in got)
 
 
 def test_references_cover_all_passing_documents(spark):

@@ -239,10 +239,9 @@ def extract(df: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("pa
     """The ``carry`` columns, the main text and its code points (``n_chars``), one row per page.
 
     Null, empty and text-free pages give an empty text; repeated rows are kept; an empty table
-    gives no rows.  A carried column named like a result column is a ValueError.
+    gives no rows.  A carried column named like a result column gives way to it.
     """
-    if clash := set(carry) & {text_col, "n_chars"}:
-        raise ValueError(f"columns {sorted(clash)} are also results; rename them first")
+    carry = tuple(c for c in carry if c not in (text_col, "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

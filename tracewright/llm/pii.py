@@ -310,10 +310,9 @@ def detect(df: DataFrame, text_col: str = "text", base_col: str = "base_spans",
     KINDS, then start.  All base spans are among the spans; a proposal that overlaps a base span
     or a higher-scored proposal is not taken.  Null texts are empty and give empty arrays; row
     count and other columns do not change; an empty table gives no rows.  A column of ``df``
-    named like a result column is a ValueError.
+    named like a result column gives way to it.
     """
-    if clash := {base_col, spans_col, "__base", "__more"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are also results; rename them first")
+    df = df.drop(*{base_col, spans_col, "__base", "__more"} - {text_col})
     model = fit(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
 

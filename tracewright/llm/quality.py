@@ -197,12 +197,10 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kept.  One row per input row.  Null and empty texts have no words and fail the base rules.
     A null or unknown language is judged by the nearest reference; with no reference at all
     only the base rules count.  An empty table gives no rows.  A carried column named like a
-    result column is a ValueError.
+    result column gives way to it.
     """
-    carry = carry or (id_col,)
     names = [*BASE, "base_failed", "chars_distance", "words_distance", "kept"]
-    if clash := set(carry) & set(names):
-        raise ValueError(f"columns {sorted(clash)} are also results; rename them first")
+    carry = tuple(c for c in carry or (id_col,) if c not in names)
     refs = references(df, lang_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,3 +221,19 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     schema = kinds + ", " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, chars_distance double, words_distance double, kept boolean"
     rows = df.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that the rules keep, with all their columns whatever their names; cases as in ``quality``."""
+    refs = references(df, lang_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, dict[str, int]] = {}
+        for part in slices(batches):
+            keep = []
+            for lang, text in zip(part.column(lang_col).to_pylist(), part.column(text_col).to_pylist(), strict=True):
+                counts, words = base(text)
+                keep.append(not counts[-1] and judge(text, words, lang, refs, seen)[2])
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe import encode_decode
+from tracewright.llm.common import materialize
 
 STEP = 1024
 
@@ -32,9 +33,10 @@ def context_limits(hist: DataFrame) -> DataFrame:
     An empty table gives no rows.
 
     Suffix sums run within blocks of STEP lengths; totals of the later blocks are added, and
-    only those totals (longest length / STEP rows) are summed in one task.
+    only those totals (longest length / STEP rows) are summed in one task.  The histogram is
+    written first, so that the documents are encoded once.
     """
-    h = hist.withColumn("block", F.expr(f"n_tokens div {STEP}"))
+    h = materialize(hist, "lengths").withColumn("block", F.expr(f"n_tokens div {STEP}"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after, everything = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sums = blocks.select(

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ LONG_WORD = 1024
 LEAF = 256
 SPREAD = 65_536
 BLOCK = 16_384
-CACHE = 400_000
+CACHE = 100_000
 
 
 class WordBpe:
@@ -37,27 +38,33 @@ class WordBpe:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
+        self.path = path
+        self.suffix = spec["model"]["end_of_word_suffix"]
+        self.text_of = {i: t for t, i in spec["model"]["vocab"].items()}
+        self.specials = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.cache: dict[str, tuple[bytes, str]] = {}
+
+    @cached_property
+    def models(self) -> tuple:
+        """The bare model inside a run and at its end; built only where a text has a long run."""
+        from tokenizers.models import BPE
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.last = BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
         # inside a run no symbol carries the word end; merges that need it cannot occur there
         inner = [m for m in merges if not m[1].endswith(self.suffix)]
-        self.inner = BPE(model["vocab"], inner)
-        self.text_of = {i: t for t, i in model["vocab"].items()}
-        self.specials = {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        return BPE(model["vocab"], inner), BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
 
     # -- one run, cut into leaves and joined up the tree ------------------------------------
     def run_ids(self, text: str, last: bool) -> list[int]:
-        return [t.id for t in (self.last if last else self.inner).tokenize(text)] if text else []
+        return [t.id for t in self.models[last].tokenize(text)] if text else []
 
     def surface(self, ids: list[int]) -> str:
         out = "".join(self.text_of[i] for i in ids)
@@ -183,6 +190,7 @@ def _rows(path: str, keep: list[pa.Field], text_col: str, want: tuple[str, ...])
             found = [bpe.text(t) for t in part.column(text_col).to_pylist()]
             cols = [part.column(f) for f in keep]
             yield pa.RecordBatch.from_arrays(cols + _columns(found, want), names=[*keep, *want])
+        bpe.cache.clear()  # the worker may go on to other operators
 
     return run
 

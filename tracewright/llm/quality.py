@@ -126,7 +126,7 @@ def word_counts(words: list[str], lang: str, seen: dict[str, int]) -> np.ndarray
         k = seen.get(w)
         if k is None:
             k = INDEX[lang].get(w.strip(STRIP).lower(), N_WORDS - 1)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             seen[w] = k
         at.append(k)

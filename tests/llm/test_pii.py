@@ -76,3 +76,20 @@ def test_trees_as_columns_equal_numpy_and_hold_out(spark):
 def test_redact(spark):
     df = spark.createDataFrame([("é a@b.co x 1.2.3.4!",)], "text string")
     assert pii.detect(df).select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "é [EMAIL] x [IP]!"
+
+
+def test_runs_of_any_length_are_proposed_and_redacted(spark):
+    import random
+
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    long = [run(256), run(257), run(342), run(1000), run(5000), run(256) + "_" + run(85), run(300) + "-" + run(41) + "==", run(64) + "/" + run(900)]
+    df = spark.createDataFrame([(k, f"the token = {x} was sent.") for k, x in enumerate(long)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(df).withColumn("clean", pii.redact(F.col("text"), F.col("spans"))).collect()}
+    for k in range(len(long)):
+        assert got[k].clean == "the token = [SECRET] was sent.", (k, got[k].spans)
+    local = "jo." * 30 + "do"
+    mail = spark.createDataFrame([(f"write to {local} at host dot com now",)], "text string")
+    assert pii.detect(mail).select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "write to [EMAIL] now"
+    plain = ["x" * 3000, "donau" * 100, "path/" * 80 + "end", "-" * 700, "some_words_" * 40 + "end"]
+    assert all(not r.spans for r in pii.detect(spark.createDataFrame([(f"see {x} here",) for x in plain], "text string")).collect())

@@ -31,12 +31,13 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Runs of a secret or a local part have no upper length: possessive and guarded, they are read once.
 GENERATORS = {
-    "email": rf"(?i)(?<!{_L}){_L}{{1,64}}+\s?[\[(]?\b(?:at|@)\b[\])]?\s?{_D}{{1,63}}\s?[\[(]?\b(?:dot)\b[\])]?\s?[A-Za-z]{{2,10}}\b",
+    "email": rf"(?i)(?<!{_L}){_L}++\s?[\[(]?\b(?:at|@)\b[\])]?\s?{_D}{{1,63}}\s?[\[(]?\b(?:dot)\b[\])]?\s?[A-Za-z]{{2,10}}\b",
     "phone": r"(?<![0-9A-Za-z.+])(?:\([0-9]{2,4}\)|0[0-9]{1,4}|[0-9]{3})[\x20./-]?[0-9]{3,4}[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "id": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z])[0-9]{8}[A-Z](?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z_/+-])[A-Za-z0-9_/+-]{16,256}+={0,2}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![0-9A-Za-z])",
 }
 CONTEXT = 28
 CUES = {
@@ -248,7 +249,7 @@ def made_up(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, str, int]]:
         "id": lambda: (pick(["ssn ", "SSN: ", "social ", "passport ", "dni "]), pick([f"{digit(3)}-{digit(2)}-{digit(4)}", digit(8) + pick("ABCDEFGHJK")])),
         "secret": lambda: (
             pick(["password=", "token = \"", "api_key: ", "secret=", "key=", "auth ", "pwd: ", "", "AKIA"]),
-            pick([hexa(18), hexa(32), hexa(40), alnum(24), alnum(40), "AKIA" + upper(16), f"sk-{alnum(32)}"]),
+            pick([hexa(18), hexa(32), hexa(40), alnum(24), alnum(40), "AKIA" + upper(16), f"sk-{alnum(32)}", alnum(rng.randint(60, 400)), alnum(342), hexa(rng.randint(64, 1200)), f"{alnum(rng.randint(200, 500))}_{alnum(rng.randint(20, 500))}"]),
         ),
     }
     no = {
@@ -258,7 +259,7 @@ def made_up(n: int = EXAMPLES, seed: int = 17) -> list[tuple[str, str, int]]:
         "id": lambda: (pick(["part ", "item ", "version ", "of "]), pick([f"{digit(3)}-{digit(2)}-{digit(4)}", digit(8) + pick("XYZ")])),
         "secret": lambda: (
             pick(["the ", "see ", "of ", "in ", "", "path ", "and "]),
-            pick([word() * 3, word() + "_" + word() + "_" + word() + "_" + word(), f"{word()}/{word()}/{word()}/{word()}", "-" * 20, digit(16), "a" * 24, word() + word() + "-" + word() + word(), (word() * 3).capitalize()]),
+            pick([word() * 3, word() + "_" + word() + "_" + word() + "_" + word(), f"{word()}/{word()}/{word()}/{word()}", "-" * 20, digit(16), "a" * 24, word() + word() + "-" + word() + word(), (word() * 3).capitalize(), word() * rng.randint(20, 80), "/".join(word() for _ in range(rng.randint(20, 80))), "_".join(word() for _ in range(rng.randint(20, 80))), digit(rng.randint(60, 600)), pick("-_a=x9") * rng.randint(60, 900)]),
         ),
     }
     out = []

@@ -2,7 +2,7 @@ import random
 
 from tracewright import fixture
 from tracewright.operators import filters, timeline
-from tracewright.plans import algorithms, graph
+from tracewright.plans import algorithms, graph, hunting
 from tracewright.streaming import timelines
 
 DIR = "/root/testdata/sf0.001"
@@ -56,3 +56,28 @@ def test_streams(spark, tmp_path):
     q.stop()
     want = timelines.rotation(spark.read.parquet(str(tmp_path / "e")), "10 days")
     assert spark.table("rotation").count() == want.count() > 0
+
+
+def test_temporal_paths_against_brute_force(spark):
+    from datetime import datetime, timedelta
+
+    begin = datetime(2024, 1, 1)
+
+    def walks(rows, start, end):
+        out, front = [], [(start, start, -1)]
+        hops = 0
+        while front:
+            hops += 1
+            front = [(f"{p}>{d}", d, t) for p, at, last in front for o, d, t in rows if o == at and t > last]
+            out += [(hops, t, p) for p, at, t in front if at == end]
+        return sorted(out)[:5]
+
+    chain = [("abcdefgh"[k], "abcdefgh"[k + 1], 3 * k) for k in range(7)]  # seven hops over three weeks
+    cases = [chain, [*chain, ("a", "c", 1), ("c", "b", 4), ("b", "c", 5)], [("a", "b", 5), ("b", "h", 5), ("b", "h", 4)], [("a", "b", 1), ("b", "a", 2)]]
+    for seed in range(2):
+        rng = random.Random(seed)
+        cases.append(sorted({(*rng.sample("abcdh", 2), rng.randrange(30)) for _ in range(16)}))
+    for rows in cases:
+        df = spark.createDataFrame([(o, d, begin + timedelta(days=t)) for o, d, t in rows], "origin string, destination string, time timestamp_ntz")
+        got = [(r.hops, (r.last - begin).days, r.path) for r in hunting.temporal_paths(df, "a", "h").collect()]
+        assert got == walks(rows, "a", "h")

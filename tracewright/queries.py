@@ -366,6 +366,12 @@ def hunt_q10_temporal_path(spark, d):
     return hunting.temporal_paths(some, "H001", "H002", hops=3, limit=5)
 
 
+@query()
+def hunt_q10_temporal_path_all(spark, d):
+    """Over all edges and any number of hops: too much for SQL, so compared with brute force in the tests."""
+    return hunting.temporal_paths(e(spark, d), "H001", "H002", limit=5)
+
+
 # -- baseline and detectors ----------------------------------------------------------------------
 @query(edges_sql("SELECT CASE WHEN count(*) = 0 THEN 'Empty' WHEN count(*) FILTER (WHERE times > 1) > 0 THEN 'Ungrouped' ELSE 'Grouped' END AS mode, count(*) AS tuples, count(*) FILTER (WHERE times > 1) AS repeated FROM (SELECT count(DISTINCT time) AS times FROM edges GROUP BY origin, destination, rel_type, logon_type)"))
 def graph_mode_probe(spark, d):

@@ -81,3 +81,12 @@ def test_temporal_paths_against_brute_force(spark):
         df = spark.createDataFrame([(o, d, begin + timedelta(days=t)) for o, d, t in rows], "origin string, destination string, time timestamp_ntz")
         got = [(r.hops, (r.last - begin).days, r.path) for r in hunting.temporal_paths(df, "a", "h").collect()]
         assert got == walks(rows, "a", "h")
+
+
+def test_whole_timeline_is_sorted(spark):
+    from tracewright.queries import QUERIES
+    from tracewright.schema import TIMELINE
+
+    want = sorted(fixture.timeline(spark, DIR).collect(), key=lambda r: (r.time_created, r.ordinal))
+    got = QUERIES["timeline_sorted"](spark, DIR).collect()
+    assert [tuple(r) for r in got] == [tuple(r[c] for c in TIMELINE) for r in want] and len(got) == 1000

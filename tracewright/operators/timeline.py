@@ -28,9 +28,9 @@ def merge(frames: list[DataFrame], start: datetime | None = None, end: datetime
     return out.dropDuplicates(list(TIMELINE))
 
 
-def ordered(df: DataFrame) -> DataFrame:
-    """By time, then by all columns, so that equal times have a fixed order."""
-    return df.orderBy("event_time", *TIMELINE)
+def ordered(df: DataFrame, by: str = "event_time", ordinal: str | None = None) -> DataFrame:
+    """All rows by time, then by order of ingest if it is given and by all columns, so that equal times have a fixed order."""
+    return df.orderBy(by, *([ordinal] if ordinal else []), *TIMELINE)
 
 
 def dedup(df: DataFrame, ordinal: str | None = None) -> DataFrame:

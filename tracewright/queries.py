@@ -233,7 +233,12 @@ def dedup_prefer_short_name(spark, d):
 
 @query(with_tl(f"SELECT {T14} FROM tl ORDER BY time_created, ordinal LIMIT 100"))
 def timeline_sorted_topn(spark, d):
-    return tl(spark, d).orderBy("time_created", "ordinal").limit(100).select(*schema.TIMELINE)
+    return timeline.ordered(tl(spark, d), "time_created", "ordinal").limit(100).select(*schema.TIMELINE)
+
+
+@query(with_tl(f"SELECT {T14} FROM tl ORDER BY time_created, ordinal"))
+def timeline_sorted(spark, d):
+    return timeline.ordered(tl(spark, d), "time_created", "ordinal").select(*schema.TIMELINE)
 
 
 # -- graph ---------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,9 +23,37 @@ def texts():
     out += ["".join(rng.choice("!?'#s.-") for _ in range(n)) for n in (1025, 9000)]
     out += ["a" * 5000 + "<|endoftext|>" + "!" * 3001 + "12" * 600 + "é" * 2000 + " " + "the" * 900]
     out += [" ".join("".join(rng.choice("thaeinorsdlÉü'1!") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (50, 20_000)]
+    out += ["é Ã© ü Ã¼ Ü, The the THE, the' they're, x's don't ÿ! ß. ×a÷ aªb µm", "ÀÉÎ, Ã\x80 naïve... Straße;", "a\u0301b e\u0308, é\u0301", "A" * 255 + ", " + "É" * 300 + "!"]
     return out
 
 
+def words():
+    """Words of every kind around the short way: letters, marks behind, before and between them."""
+    rng = random.Random(8)
+    letters, marks = "abethinXYZéÉßÿÃ¼©þØ", ".,;:!?'\"-()<|>&%"
+    for _ in range(3000):
+        head = "".join(rng.choice(letters) for _ in range(rng.randint(1, 8)))
+        tail = "".join(rng.choice(marks) for _ in range(rng.randint(0, 3)))
+        yield rng.choice([head + tail, tail + head, head + tail + head, tail, head])
+
+
+def test_words_equal_library(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)  # generations change often
+    coder, all_words = bpe.WordBpe(PATH), list(words())
+    for at in range(0, len(all_words), 300):
+        text = " ".join(all_words[at : at + 300])
+        want = library.encode(text, add_special_tokens=False).ids
+        assert coder.texts(pa.array([None, text, ""])).to_pylist() == [[], want, []]
+        assert len(coder.cache) <= 50 and len(coder.older) <= 50
+
+
+def test_id_named_like_a_result(spark):
+    df = spark.createDataFrame([(1, "a b", "seq")], "n_tokens long, text string, kind string")
+    assert bpe.encode_decode(df, PATH, "n_tokens").columns == ["n_tokens", "ids", "decoded"]
+    long = spark.createDataFrame([("k", "word " * 20_000)], "key string, text string")
+    assert [tuple(r) for r in bpe.encode_decode(long, PATH, "key", want=("n_tokens",)).collect()] == [("k", 20_000)]
+
+
 def test_equals_library(library):
     coder = bpe.WordBpe(PATH)
     for text in texts():

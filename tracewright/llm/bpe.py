@@ -1,7 +1,10 @@
 """BPE encoding and decoding with tree concatenation of long unsplit text.
 
 White space always ends a pre-token of the word-end vocabulary, so a text is encoded word by
-word and results of frequent words are kept.  A word longer than ``LONG_WORD`` is cut into
+word: the texts of a batch are cut and their different words numbered by Arrow, each different
+word is encoded once, and the ids of the texts are taken by number.  Results of short words are
+kept from batch to batch and task to task, in two generations of ``CACHE`` words: a full one
+replaces the older, so words in use stay.  A word longer than ``LONG_WORD`` is cut into
 pre-tokens, and a pre-token longer than ``LEAF`` (one unbroken run of letters or symbols) is
 cut into halves again and again; the leaves are encoded on their own, then joined pairwise up
 the tree: the tokens around a join are encoded again in a growing window until its first and
@@ -16,11 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,9 @@ LEAF = 256
 SPREAD = 65_536
 BLOCK = 16_384
 CACHE = 100_000
+# Letters that no normal form changes next to each other, and words of them with ASCII marks behind (an apostrophe may begin a suffix of letters).
+LETTERS = "".join(chr(c) for c in range(0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
 
 
 class WordBpe:
@@ -48,7 +56,12 @@ class WordBpe:
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.text_of = {i: t for t, i in spec["model"]["vocab"].items()}
         self.specials = {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        names = self.text_of | self.specials
+        self.names = pa.array([names[i] for i in range(len(names))])
+        # a letter as the model sees it: lower case over the byte alphabet
+        self.mapped = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(c))[0][0] for c in LETTERS}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @cached_property
     def models(self) -> tuple:
@@ -126,29 +139,61 @@ class WordBpe:
                 out += self.tree([self.run_ids(x, n == len(cut) - 1) for n, x in enumerate(cut)], True)
         return out
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        if len(word) > LONG_WORD:
-            ids = self.encode_parts(self.parts(word))
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        found = (np.array(ids, "<i4").tobytes(), self.decode(ids))
+    def word(self, word: str) -> bytes:
+        """Ids of a word as little-endian 32-bit integers.
+
+        Letters alone are one pre-token and marks after them another, whatever stands before or
+        after, so such words go to the bare model; all others take the library's whole way.
+        """
+        if (plain := PLAIN.fullmatch(word)) and len(word) <= LEAF:
+            return self.run(plain[1].translate(self.mapped)) + (self.run(plain[2]) if plain[2] else b"")
+        found = self.older.get(word)
+        if found is None:
+            if len(word) > LONG_WORD:
+                ids = self.encode_parts(self.parts(word))
+            else:
+                ids = self.whole.encode(word, add_special_tokens=False).ids
+            found = np.array(ids, "<i4").tobytes()
+        return self.keep(word, found)
+
+    def run(self, run: str) -> bytes:
+        """Ids of a short pre-token over the byte alphabet."""
+        key = run if run.isascii() else " " + run  # as a word the same characters would be other bytes
+        found = self.cache.get(key)
+        if found is None:
+            found = self.older.get(key)
+            found = self.keep(key, np.array(self.run_ids(run, True), "<i4").tobytes() if found is None else found)
+        return found
+
+    def keep(self, word: str, found: bytes) -> bytes:
         if len(word) <= 64:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
+            if len(self.cache) >= CACHE:
+                self.cache, self.older = {}, self.cache
             self.cache[word] = found
         return found
 
+    def texts(self, column: pa.Array) -> pa.ListArray:
+        """Ids of whole texts; none of a null."""
+        words = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))
+        coded = words.flatten().dictionary_encode()
+        found = []
+        for w in coded.dictionary.to_pylist():
+            ids = self.cache.get(w)  # the cache itself may change with every word
+            found.append(self.word(w) if ids is None else ids)
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        kinds = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        each = kinds.take(coded.indices)
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[starts] - each.offsets[0].as_py(), pa.int32()), each.flatten())
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """The library's decoding of this file: it names no decoder, so tokens are joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
+
     def text(self, text: str | None) -> tuple[bytes, str]:
         """Ids of a whole text as little-endian 32-bit integers, and their decoded text."""
-        if not text:
-            return b"", ""
-        get = self.cache.get
-        found = [get(w) or self.word(w) for w in split(text)]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
-
-    def decode(self, ids) -> str:
-        """The library's decoding of this file: it names no decoder, so tokens are joined by a space."""
-        return " ".join([self.specials.get(i) or self.text_of[i] for i in ids])
+        ids = self.texts(pa.array([text], pa.string()))
+        return ids.flatten().to_numpy().astype("<i4").tobytes(), self.decoded(ids)[0].as_py()
 
 
 def _between(text: str, content: str) -> list[str]:
@@ -183,29 +228,19 @@ def encoder(path: str) -> WordBpe:
     return _encoders[path]
 
 
-def _rows(path: str, keep: list[pa.Field], text_col: str, want: tuple[str, ...]) -> Callable:
+def _rows(path: str, want: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in slices(batches):
-            found = [bpe.text(t) for t in part.column(text_col).to_pylist()]
-            cols = [part.column(f) for f in keep]
-            yield pa.RecordBatch.from_arrays(cols + _columns(found, want), names=[*keep, *want])
-        bpe.cache.clear()  # the worker may go on to other operators
+        for part in slices(batches, 1024):
+            found = bpe.texts(part.column("__text"))
+            yield pa.RecordBatch.from_arrays([part.column("__id"), *_columns(bpe, found, want)], names=["__id", *want])
 
     return run
 
 
-def _columns(found: list[tuple[bytes, str]], want: tuple[str, ...]) -> list[pa.Array]:
-    out = []
-    if "n_tokens" in want:
-        out.append(pa.array([len(x) // 4 for x, _ in found], pa.int64()))
-    if "ids" in want:
-        ends = np.cumsum([0] + [len(x) // 4 for x, _ in found])
-        flat = pa.array(np.frombuffer(b"".join([x for x, _ in found]), "<i4"))
-        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
-    if "decoded" in want:
-        out.append(pa.array([x for _, x in found], pa.string()))
-    return out
+def _columns(bpe: WordBpe, found: pa.ListArray, want: tuple[str, ...]) -> list[pa.Array]:
+    made = {"n_tokens": lambda: pc.list_value_length(found).cast(pa.int64()), "ids": lambda: found, "decoded": lambda: bpe.decoded(found)}
+    return [made[w]() for w in want]
 
 
 TYPES = {"n_tokens": "long", "ids": "array<int>", "decoded": "string"}
@@ -222,21 +257,21 @@ def encode_decode(
 
     Returns ``id_col`` and the columns of ``want`` among n_tokens (long), ids (array<int>) and
     decoded (string); one row per input row, repeated rows and ids included.  Null and empty
-    texts give 0 tokens, an empty array and an empty string; an empty table gives no rows;
-    other columns of the input are not carried.  ``tokenizer_path`` must be readable on every
+    texts give 0 tokens, an empty array and an empty string; null ids are carried; an empty table
+    gives no rows; other columns of the input are not carried.  Where ``id_col`` has the name of a
+    result column, that result is left out.  ``tokenizer_path`` must be readable on every
     executor.  One row's text, ids and decoded text must fit a task.
     """
-    want = tuple(w for w in TYPES if w in want)
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{w} {TYPES[w]}" for w in want)
-    rows = df.select(F.col(id_col), F.col(text_col))
-    short = rows.where(F.coalesce(F.length(text_col), F.lit(0)) <= SPREAD)
-    long = rows.where(F.length(text_col) > SPREAD)
-    done = short.mapInArrow(_rows(tokenizer_path, [id_col], text_col, want), schema)
-    return done.unionByName(_spread(long, tokenizer_path, id_col, text_col, want, kind, schema))
+    want = tuple(w for w in TYPES if w in want and w != id_col)
+    schema = f"__id {df.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{w} {TYPES[w]}" for w in want)
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    short = rows.where(F.coalesce(F.length("__text"), F.lit(0)) <= SPREAD)
+    long = rows.where(F.length("__text") > SPREAD)
+    done = short.mapInArrow(_rows(tokenizer_path, want), schema)
+    return done.unionByName(_spread(long, tokenizer_path, want, schema)).withColumnRenamed("__id", id_col)
 
 
-def _spread(long, path, id_col, text_col, want, kind, schema) -> DataFrame:
+def _spread(long: DataFrame, path: str, want: tuple[str, ...], schema: str) -> DataFrame:
     """The same for very long texts: blocks and leaves are encoded by many tasks, then joined per text."""
 
     def cut(batches):
@@ -246,7 +281,7 @@ def _spread(long, path, id_col, text_col, want, kind, schema) -> DataFrame:
         place = TaskContext.get().partitionId()
         n = 0
         for part in slices(batches, 16):
-            for ident, text in zip(part.column(id_col).to_pylist(), part.column(text_col).to_pylist(), strict=True):
+            for ident, text in zip(part.column("__id").to_pylist(), part.column("__text").to_pylist(), strict=True):
                 key = hashlib.sha256(f"{place}:{n}:{ident}".encode()).digest()[:16]
                 n += 1
                 rows = [(seq, *x) for seq, x in enumerate(pieces(bpe, text))]
@@ -255,7 +290,7 @@ def _spread(long, path, id_col, text_col, want, kind, schema) -> DataFrame:
                     yield pa.RecordBatch.from_pydict(
                         {
                             "key": [key] * len(some),
-                            id_col: pa.array([ident] * len(some), part.schema.field(id_col).type),
+                            "__id": pa.array([ident] * len(some), part.schema.field("__id").type),
                             "seq": pa.array([x[0] for x in some], pa.int32()),
                             "kind": [x[1] for x in some],
                             "piece": [x[2] for x in some],
@@ -265,37 +300,36 @@ def _spread(long, path, id_col, text_col, want, kind, schema) -> DataFrame:
     def encode(batches):
         bpe = encoder(path)
         for part in slices(batches, 64):
-            ids = []
-            for kind_, piece in zip(part.column("kind").to_pylist(), part.column("piece").to_pylist(), strict=True):
-                ids.append(bpe.text(piece)[0] if kind_ == "text" else _one(bpe, kind_, piece))
+            kinds, texts = part.column("kind").to_pylist(), part.column("piece").to_pylist()
+            ids = [bpe.text(x)[0] if kind == "text" else _one(bpe, kind, x) for kind, x in zip(kinds, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column(id_col), part.column("seq"), part.column("kind"), pa.array(ids, pa.binary())],
-                names=["key", id_col, "seq", "kind", "ids"],
+                [part.column("key"), part.column("__id"), part.column("seq"), part.column("kind"), pa.array(ids, pa.binary())],
+                names=["key", "__id", "seq", "kind", "ids"],
             )
 
     def gather(table: pa.Table) -> pa.Table:
         bpe = encoder(path)
         rows = sorted(zip(table.column("seq").to_pylist(), table.column("kind").to_pylist(), table.column("ids").to_pylist(), strict=True))
-        out: list[int] = []
+        out: list[np.ndarray] = []
         leaves: list[list[int]] = []
-        for _, kind_, ids in rows:
-            one = np.frombuffer(ids, "<i4").tolist()
-            if kind_ in ("inner", "last"):
-                leaves.append(one)
-                if kind_ == "last":
-                    out += bpe.tree(leaves, True)
+        for _, kind, ids in rows:
+            one = np.frombuffer(ids, "<i4")
+            if kind in ("inner", "last"):
+                leaves.append(one.tolist())
+                if kind == "last":
+                    out.append(np.array(bpe.tree(leaves, True), "<i4"))
                     leaves = []
             else:
-                out += one
-        found = [(np.array(out, "<i4").tobytes(), bpe.decode(out))]
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(table.column(id_col).to_pylist()[:1], table.schema.field(id_col).type), *_columns(found, want)], names=[id_col, *want]
-        )
-        return pa.Table.from_batches([batch])
-
-    leaves = long.mapInArrow(cut, f"key binary, `{id_col}` {kind}, seq int, kind string, piece string")
+                out.append(one)
+        flat = np.concatenate(out) if out else np.zeros(0, "<i4")
+        found = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+        ident = pa.array(table.column("__id").to_pylist()[:1], table.schema.field("__id").type)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([ident, *_columns(bpe, found, want)], names=["__id", *want])])
+
+    carried = f"__id {long.schema['__id'].dataType.simpleString()}"
+    leaves = long.mapInArrow(cut, f"key binary, {carried}, seq int, kind string, piece string")
     leaves = leaves.repartition("key", "seq")
-    coded = leaves.mapInArrow(encode, f"key binary, `{id_col}` {kind}, seq int, kind string, ids binary")
+    coded = leaves.mapInArrow(encode, f"key binary, {carried}, seq int, kind string, ids binary")
     return coded.groupBy("key").applyInArrow(gather, schema)
 
 

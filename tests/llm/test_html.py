@@ -38,3 +38,49 @@ def test_operator(spark):
     got = html.extract(df).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted((p or 0, html.main_text(h), len(html.main_text(h))) for p, _, h, _ in rows)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_labels_decide_inside_an_article():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>the one of them {k}</a></li>" for k in range(4)) + "</ul>"
+    linked = "<p><a href=/x>A single linked line of the story stays in it</a></p>"
+    assert html.main_text(f"<article><p>{PARA}</p>{linked}<p>{PARA}</p>{menu}</article>") == squeeze(f"{PARA} A single linked line of the story stays in it {PARA}")
+
+
+def test_long_prose_in_named_containers_is_never_good():
+    assert html.main_text(f"<article><p>x</p><aside><p>{PARA}</p></aside></article><footer>{PARA}</footer><div role=banner>{PARA}</div>") == "x"
+
+
+def test_story_beside_article_cards():
+    cards = "".join(f"<article><h3>Card {k}</h3><p>In a word.</p></article>" for k in range(3))
+    assert html.main_text(f"<div><p>{PARA}</p><p>{PARA}</p></div>{cards}") == squeeze(PARA + PARA)
+    assert html.main_text(f"<p>{PARA}</p><article><p>{PARA}</p></article><article>It is the end.</article>") == squeeze(PARA + "It is the end.")
+
+
+def test_pass_two_equals_brute_force():
+    import random
+
+    rng, nothing = random.Random(3), (10**9, "")
+    texts = [("the cat is in the garden of it " * 9, 0), ("the cat is in the garden of it " * 4, 0), ("Xyl kro " * 30, 0), ("short", 0), ("linked words here", 17), ("© it", 0)]
+    for _ in range(300):
+        scopes = sorted(rng.randint(0, 3) for _ in range(rng.randint(0, 14)))
+        kinds = [rng.choice(["page", "article", "main", "out"]) for _ in range(4)]
+        found = [html.Block(*rng.choice(texts), kinds[s], s, rng.choice(["p", "h2", ""])) for s in scopes]
+        first = [html.first_label(x, n) for x, n in zip(found, html._runs(found), strict=True)]
+        for kind in ("near", "short"):
+            new = list(first)
+            for k, x in enumerate(found):
+                if first[k] == kind:
+                    near = [(j, first[j]) for j in range(len(found)) if found[j].scope == x.scope and first[j] in ("good", "bad")]
+                    left, right = [(k - j, v) for j, v in near if j < k], [(j - k, v) for j, v in near if j > k]
+                    new[k] = html.inherit(min(left, default=nothing), min(right, default=nothing), x.kind, kind)
+            first = new
+        assert html.labels(found) == [x == "good" for x in first]
+
+
+def test_large_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<div>", "<p>x", "<span class=ad>", "</i>", "<li>a<ul>", '<a "', "<section class=ad><p>a</section>"):
+        began = time.process_time()
+        html.main_text("<article>" + piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 10

@@ -93,3 +93,52 @@ def test_runs_of_any_length_are_proposed_and_redacted(spark):
     assert pii.detect(mail).select(pii.redact(F.col("text"), F.col("spans"))).first()[0] == "write to [EMAIL] now"
     plain = ["x" * 3000, "donau" * 100, "path/" * 80 + "end", "-" * 700, "some_words_" * 40 + "end"]
     assert all(not r.spans for r in pii.detect(spark.createDataFrame([(f"see {x} here",) for x in plain], "text string")).collect())
+
+
+def test_proposals_that_overlap_a_base_span_are_not_taken(spark):
+    text = "password=1.2.3.4@7602ad27cf5550de1c.org x"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.detect(df).withColumn("clean", pii.redact(F.col("text"), F.col("spans"))).first()
+    assert [tuple(s) for s in got.spans] == [("email", 9, 39), ("ip", 9, 16)]
+    assert got.clean == "password=[EMAIL] x"
+
+
+def brute_choice(spans):
+    """Proposals overlapping no base span, swept in the order of their starts."""
+    base = [s for s in spans if s[3] == float("inf")]
+    out = []
+    for s in sorted(s for s in spans if s[3] < float("inf") and not any(s[0] < b[1] and b[0] < s[1] for b in base)):
+        if not out or s[0] >= out[-1][1]:
+            out.append(s)
+        elif s[3] > out[-1][3]:
+            out[-1] = s
+    return out
+
+
+def test_choice_of_spans_equals_brute_force(spark):
+    import random
+
+    rng, cases = random.Random(12), []
+    for k in range(60):
+        n = rng.choice([0, 1, 3, 12, 700])
+        at = [(rng.randint(0, 4 * n), rng.choice(["email", "secret"]), rng.choice([float("inf"), 0.5, 1.0, 2.0, 3.0, 4.0, 5.0])) for _ in range(n)]
+        cases.append((k, [(a, a + rng.randint(1, 9), kind, score) for a, kind, score in at]))
+    df = spark.createDataFrame(cases, f"k int, s array<{pii.SCORED}>")
+    chosen = pii._pending(pii._free(F.array_sort("s")), lambda held, x: F.when(x["score"] > held["score"], x).otherwise(held))
+    got = {r.k: [tuple(x) for x in r.c] for r in df.select("k", chosen.alias("c")).collect()}
+    assert all(got[k] == brute_choice(s) for k, s in cases)
+
+
+def test_a_hundred_thousand_hits_in_one_text(spark):
+    import time
+
+    mail = " ".join(f"é.n{k}@host{k}.example.org," for k in range(100_000))
+    phones = " ".join(f"tel. (319) 555-{k % 10_000:04d};" for k in range(20_000))
+    df = spark.createDataFrame([(1, mail), (2, phones)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = pii.detect(df).select("doc_id", "base_spans", F.size("spans").alias("n"), pii.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert time.perf_counter() - began < 90
+    got = {r.doc_id: r for r in rows}
+    assert [tuple(s) for s in got[1].base_spans] == brute(mail)
+    assert got[1].clean == " ".join(["é[EMAIL],"] * 100_000)
+    assert got[2].n == 20_000 and got[2].clean == " ".join(["tel. [PHONE];"] * 20_000)

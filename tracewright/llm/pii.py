@@ -13,12 +13,15 @@ The trees are fitted on the driver from a seeded set of made-up sentences (its s
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.net import bound
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "id", "secret")
 _L, _D = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -51,38 +54,51 @@ EXAMPLES, TREES, DEPTH, SHRINK, BINS = 2400, 24, 3, 0.3, 12
 PRECISION = 0.97
 
 
+CHUNK = 256
+HIT = "struct<start:int,end:int,m:string,before:string,after:string>"
+
+
+def scan(items: Column, zero: Column, onwards: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """struct (c: carry after the last item, out: all that was emitted) of a pass over an array.
+
+    ``onwards`` gives the next carry from a carry and an item, ``emit`` the array of what they emit,
+    of type ``kind``.  Appending copies an array, so items are taken by chunks: the copies of n items
+    are n * CHUNK / 2 and (n / CHUNK)^2 / 2, not n^2 / 2.
+    """
+    begin = lambda carry: F.struct(carry.alias("c"), F.array().cast(f"array<{kind}>").alias("out"))
+    step = lambda a, x: F.struct(onwards(a["c"], x).alias("c"), F.concat(a["out"], emit(a["c"], x)).alias("out"))
+
+    def whole(held: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int")),
+            F.array(begin(zero)),
+            lambda done, k: F.concat(done, F.array(F.aggregate(F.slice(held, k * CHUNK + 1, F.lit(CHUNK)), begin(F.element_at(done, -1)["c"]), step))),
+            lambda done: F.struct(F.element_at(done, -1)["c"].alias("c"), F.flatten(F.transform(done, lambda r: r["out"])).alias("out")),
+        )
+
+    return bound(items, lambda held: F.when(F.size(held) > 0, whole(held)).otherwise(begin(zero)))
+
+
 def found(text: Column, pattern: str) -> Column:
     """All matches, leftmost and not overlapping: array of (start, end, m, before, after).
 
     ``split`` gives the pieces between the matches; running lengths give the code point offsets.
+    Texts without a match are not split.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(hits: Column, pieces: Column) -> Column:
-        start = F.aggregate(
-            F.sequence(F.lit(0), F.size(hits) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda a, k: F.struct(
-                (a["at"] + F.length(pieces[k]) + F.length(hits[k])).alias("at"),
-                F.concat(a["starts"], F.array(a["at"] + F.length(pieces[k]))).alias("starts"),
-            ),
-            lambda a: a["starts"],
-        )
-        return F.transform(
-            F.arrays_zip(start.alias("s"), hits.alias("m"), F.slice(pieces, 1, F.size(hits)).alias("b"), F.slice(pieces, 2, F.size(hits)).alias("a")),
-            lambda x: F.struct(
-                x["s"].alias("start"),
-                (x["s"] + F.length(x["m"])).alias("end"),
-                x["m"].alias("m"),
-                F.right(x["b"], F.lit(CONTEXT)).alias("before"),
-                F.left(x["a"], F.lit(4)).alias("after"),
-            ),
-        )
+        rows = F.arrays_zip(hits.alias("m"), F.slice(pieces, F.lit(1), F.size(hits)).alias("b"), F.slice(pieces, F.lit(2), F.size(hits)).alias("a"))
+
+        def hit(at: Column, x: Column) -> Column:
+            start = at + F.length(x["b"])
+            near = F.right(x["b"], F.lit(CONTEXT)).alias("before"), F.left(x["a"], F.lit(4)).alias("after")
+            return F.array(F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), *near))
+
+        return scan(rows, F.lit(0), lambda at, x: at + F.length(x["b"]) + F.length(x["m"]), hit, HIT)["out"]
 
-    empty = F.array().cast("array<struct<start:int,end:int,m:string,before:string,after:string>>")
-    # transform over a one-element array binds the hits to a name, so the pattern runs once
-    bound = F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, empty).otherwise(place(h, F.split(text, pattern, -1))))
-    return F.element_at(bound, 1)
+    empty = F.array().cast(f"array<{HIT}>")
+    # hits and pieces are bound to names, so that each pattern runs once a text
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.when(F.size(h) == 0, empty).otherwise(bound(F.split(text, pattern, -1), lambda p: place(h, p))))
 
 
 def digits(m: Column) -> Column:
@@ -289,27 +305,41 @@ def fit(spark: SparkSession) -> Model:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _sweep(spans: Column) -> Column:
-    """Of spans sorted by start, those that win against the overlapping one before: base spans first, then by score."""
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,score:double>>")
+SCORED = "struct<start:int,end:int,kind:string,score:double>"
+_NONE = "named_struct('start', -1, 'end', -1, 'kind', '', 'score', double('-inf'))"
+
+
+def _pending(spans: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Spans sorted by start, with each run of overlapping ones folded by ``merge`` (the one kept so far, the next)."""
+
+    apart = lambda held, x: x["start"] >= held["end"]
+    onwards = lambda held, x: F.when(apart(held, x), x).otherwise(merge(held, x))
+    emit = lambda held, x: F.when(apart(held, x) & (held["start"] >= 0), F.array(held)).otherwise(F.array().cast(f"array<{SCORED}>"))
+    last = lambda r: F.when(r["c"]["start"] < 0, r["out"]).otherwise(F.concat(r["out"], F.array(r["c"])))
+    return bound(scan(spans, F.expr(_NONE), onwards, emit, SCORED), last)
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when((F.size(kept) == 0) | (s["start"] >= F.try_element_at(kept, F.lit(-1))["end"]), F.concat(kept, F.array(s)))
-            .when(s["score"] > last["score"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s)))
-            .otherwise(kept)
-        )
 
-    return F.aggregate(spans, empty, step)
+def _free(spans: Column) -> Column:
+    """Of base spans (score infinite) and proposals sorted by start, the proposals that overlap no base span.
+
+    Forwards the furthest end of the base spans so far is carried, backwards the start of the next.
+    """
+    is_base = lambda x: x["score"] == float("inf")
+
+    kept = lambda keep, x: F.when(keep, F.array(x)).otherwise(F.array().cast(f"array<{SCORED}>"))
+    furthest = lambda end, x: F.when(is_base(x), F.greatest(end, x["end"])).otherwise(end)
+    nearest = lambda start, x: F.when(is_base(x), x["start"]).otherwise(start)
+    some = scan(spans, F.lit(0), furthest, lambda end, x: kept(is_base(x) | (x["start"] >= end), x), SCORED)["out"]
+    return F.reverse(scan(F.reverse(some), F.lit(2**31 - 1), nearest, lambda start, x: kept(~is_base(x) & (x["end"] <= start), x), SCORED)["out"])
 
 
 def detect(df: DataFrame, text_col: str = "text", base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
     """All columns of ``df``, the base spans and all spans.
 
     Spans are arrays of (kind, start, end) in code points, end exclusive, ordered by kind as in
-    KINDS, then start.  All base spans are among the spans; a proposal that overlaps a base span
-    or a higher-scored proposal is not taken.  Null texts are empty and give empty arrays; row
+    KINDS, then start.  All base spans are among the spans; a proposal that overlaps any base span
+    is not taken.  Proposals that overlap each other are compared in the order of their starts: the
+    next one replaces the one taken last if its score is higher, else it goes.  Null texts are empty and give empty arrays; row
     count and other columns do not change; an empty table gives no rows.  A column of ``df``
     named like a result column gives way to it.
     """
@@ -340,7 +370,7 @@ def detect(df: DataFrame, text_col: str = "text", base_col: str = "base_spans",
             F.array(scored),
             lambda s: F.when(F.size(s) == 0, F.array().cast(SPANS)).otherwise(
                 F.transform(
-                    F.filter(_sweep(F.array_sort(F.concat(as_scored, s))), lambda x: x["score"] < inf),
+                    _pending(_free(F.array_sort(F.concat(as_scored, s))), lambda held, x: F.when(x["score"] > held["score"], x).otherwise(held)),
                     lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
                 )
             ),
@@ -364,19 +394,30 @@ def guard(text: Column, kind: str) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in square brackets; overlapping spans become
-    one, named after the first."""
-    merged = F.aggregate(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-            .alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(merged)
+    one, named after the first (of those that start together, the longest).  A text without spans (null and empty ones too) stays as it is.
+
+    The text is cut at every CHUNK-th span first, since looking up a place takes time by its distance.
+    """
+    with_score = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(0.0).alias("score")))
+    longer = lambda held, x: F.struct(held["start"].alias("start"), F.greatest(held["end"], x["end"]).alias("end"), F.when(x["start"] == held["start"], x["kind"]).otherwise(held["kind"]).alias("kind"), held["score"].alias("score"))
+
+    def pieces(m: Column, k: Column) -> Column:
+        low = F.when(k == 0, F.lit(0)).otherwise(F.get(m, k * CHUNK - 1)["end"])
+        some = F.slice(m, k * CHUNK + 1, F.lit(CHUNK))
+        part = lambda x: F.substring(text, x["low"] + 1, F.element_at(x["some"], -1)["end"] - x["low"])
+
+        def one(x: Column, part: Column, s: Column, n: Column) -> Column:
+            before = F.when(n == 0, x["low"]).otherwise(F.get(x["some"], n - 1)["end"])
+            return F.concat(F.substring(part, before - x["low"] + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+        return bound(F.struct(low.alias("low"), some.alias("some")), lambda x: bound(part(x), lambda p: F.array_join(F.transform(x["some"], lambda s, n: one(x, p, s, n)), "")))
+
+    def whole(m: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int"))
+        tail = F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(numbers, lambda k: pieces(m, k)), ""), tail)
+
+    return F.when(F.size(spans) > 0, bound(_pending(F.array_sort(with_score), longer), whole)).otherwise(text)
 
 
 def joined(spans: Column) -> Column:

@@ -34,26 +34,75 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a temporary folder; on a cluster that is an error,
+    because a folder of the driver's machine would be lost with it and unseen by executors.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What this driver has written for its own use and not yet dropped: folders, and tables as (name,).
+_written: list[str | tuple[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage and pins results that must not be computed twice (row keys, batches); a
-    lost executor costs nothing that is already written.
+    lost executor costs nothing that is already written.  ``drop_written`` removes the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_table(name: str) -> None:
+    _written.append((name,))
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate tables written so far, but for the last ``keep``.
+
+    For callers that have stored the results: a result that was not yet computed needs its
+    intermediate tables, so no operator drops them itself.
+    """
+    gone, _written[:] = _written[: len(_written) - keep], _written[len(_written) - keep :]
+    for x in gone:
+        if isinstance(x, tuple):
+            spark.sql(f"DROP TABLE IF EXISTS `{x[0]}`")
+        else:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``__id`` under its own name; a result column of that name gives way to it."""
+    return df.select(F.col("__id").alias(id_col), *[c for c in df.columns if c not in ("__id", id_col)])
+
+
+def lowest_hashes(df: DataFrame, id_col: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows with the smallest hash of their id; ties go by id, then by ``ties``.
+
+    Rows are counted, and all but the lowest hashes, twice as many as wanted, go before the ordering, so
+    what the ordering gathers does not grow with the number of tasks.
+    """
+    key = F.xxhash64(F.col(id_col).cast("string"))
+    rows = df.count()
+    if rows > 4 * n:
+        low = df.where(key < int(-(2**63) + 2**64 * (2 * n / rows)))
+        df = low if low.count() >= n else df
+    return df.orderBy(key, F.col(id_col), *ties).limit(n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Bounded slices of Arrow batches, so that Python objects of few rows live at a time."""
     for batch in batches:

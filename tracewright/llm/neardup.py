@@ -10,8 +10,8 @@
    many links it has and one set it is connected to; pairs themselves are never written.
 4. Classes are the connected components of the verified links.
 
-Bands and rows are chosen for a target recall at the threshold.  Shingles are compared as 32-bit
-hashes: among the shingles of two texts of n words a false match has probability n^2 / 2^32.
+Bands and rows are chosen for a target recall at the threshold.  Shingles are compared as 64-bit
+hashes: among the shingles of two texts of n words a false match has probability n^2 / 2^64.
 The work on a group grows with the square of its *different* sets (counting links exactly needs
 each pair); equal texts cost nothing, and no task holds more than two blocks.
 """
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, slices
+from tracewright.llm.common import materialize, slices, with_id
 from tracewright.llm.components import components
 from tracewright.llm.substring import _hashes, _mix, _prefix, word_hashes
 
 NGRAM, RECALL, ROWS = 5, 0.9999, 6
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8 or more
-BLOCK = 1500
+BLOCK = 500
 CHUNK = 4096
 
 
@@ -112,7 +112,7 @@ def sets_of(df: DataFrame, text_col: str) -> DataFrame:
                 if name not in seen:
                     seen.add(name)
                     sig.append(name)
-                    out.append(np.unique(found.astype(np.uint32)).tobytes())
+                    out.append(found.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(out, pa.binary())], names=["sig", "shingles"])
 
     return df.select(text_col).mapInArrow(run, "sig long, shingles binary")
@@ -218,7 +218,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if members:
                     yield out()
                 key, members = (label, i, j), []
-            members.append((sig, block, copies, labels, np.frombuffer(data, np.uint32)))
+            members.append((sig, block, copies, labels, np.frombuffer(data, "<u8")))
     if members:
         yield out()
 
@@ -243,6 +243,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     (copies and repeated rows included), class_id the least id in the connected component.
     Null ids come out with the class of their text and are never a class_id unless all ids are null.
     Texts without words (null, empty) are copies of each other.  An empty table gives no rows.
+    A result column named like ``id_col`` gives way to it.
     """
     bands = bands_for(NUMERATOR / DENOMINATOR, recall, rows)
     prints = materialize(fingerprints(df, id_col, text_col, bands, rows), "prints")
@@ -254,4 +255,4 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     of_set = of_set.select("sig", F.coalesce("root", "sig").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = of_set.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("class_id"))
     of_set = of_set.join(named, F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "class_id", "n_links")
-    return prints.select(F.col("id").alias(id_col), "sig").join(of_set, F.col("sig") == F.col("s")).select(id_col, "class_id", "n_links")
+    return with_id(prints.select(F.col("id").alias("__id"), "sig").join(of_set, F.col("sig") == F.col("s")).select("__id", "class_id", "n_links"), id_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import slices, words_of
+from tracewright.llm.common import lowest_hashes, slices, with_id, words_of
 from tracewright.llm.quality import CLASSES, COMMON, STRIP, class_counts
 
 BITS = 19
@@ -70,12 +70,8 @@ def features(text: str | None, seen: dict[str, int]) -> tuple[np.ndarray, np.nda
 
 def train_rows(labelled: DataFrame, id_col: str, text_col: str, grade: Column, sample: int) -> list:
     """Features of at most ``sample`` labelled rows, made on the executors."""
-    picked = (
-        labelled.select(F.col(id_col), F.col(text_col), grade.cast("int").alias("__grade"))
-        .where("__grade IS NOT NULL")
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col), "__grade")
-        .limit(sample)
-    )
+    graded = labelled.select(F.col(id_col), F.col(text_col), grade.cast("int").alias("__grade")).where("__grade IS NOT NULL")
+    picked = lowest_hashes(graded, id_col, sample, "__grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
@@ -129,7 +125,8 @@ def score(df: DataFrame, model: Model, tail: int, cut: float = 0.5, id_col: str
 
     Returns ``id_col``, expected_grade, tail_probability (double, rounded to 6 places), selected;
     one row per input row.  Null and empty texts are scored by the constant alone and never
-    selected; an empty table gives no rows.  The model is of fixed size (1 MB), whatever the data.
+    selected; null ids are carried; an empty table gives no rows.  A result column named like ``id_col`` gives way to it.
+    The model is of fixed size (1 MB), whatever the data.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +141,10 @@ def score(df: DataFrame, model: Model, tail: int, cut: float = 0.5, id_col: str
             chance = np.round(p[:, tail - 1], 6)
             picked = (chance >= cut) & np.array([bool(t and t.strip()) for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [part.column(id_col), pa.array(np.round(p.sum(axis=1), 6)), pa.array(chance), pa.array(picked)],
-                names=[id_col, "expected_grade", "tail_probability", "selected"],
+                [part.column("__id"), pa.array(np.round(p.sum(axis=1), 6)), pa.array(chance), pa.array(picked)],
+                names=["__id", "expected_grade", "tail_probability", "selected"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail_probability double, selected boolean")
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return with_id(rows.mapInArrow(run, f"__id {kind}, expected_grade double, tail_probability double, selected boolean"), id_col)

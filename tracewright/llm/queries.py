@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, chat, decontaminate, html, lengths, neardup, ordinal, pii, quality, substring
-from tracewright.llm.common import read_table
+from tracewright.llm.common import lowest_hashes, read_table
 
 
 def word_bpe() -> str:
@@ -65,7 +65,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
     graded = labels.select(F.col("doc_id"), grade.alias("grade")).where("grade IS NOT NULL")
-    sample = graded.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(ordinal.SAMPLE)
+    sample = lowest_hashes(graded, "doc_id", ordinal.SAMPLE, "grade")
     model = ordinal.fit(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), F.col("grade"), 3)
     return ordinal.score(documents, model, tail=2).withColumnRenamed("selected", "kept")
 

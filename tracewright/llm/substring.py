@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import slices, words_of
+from tracewright.llm.common import slices, with_id, words_of, written_table
 
 LENGTH, PERIOD, ANCHOR = 35, 21, 15
 COVER = (0, 1, 4, 14, 16)  # each residue modulo 21 is a difference of two of these
@@ -194,6 +194,7 @@ def pack(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     packed = df.select(id_col, text_col).mapInArrow(run, "batch long, data binary")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed.write.format("parquet").option("compression", "none").bucketBy(buckets, "batch").saveAsTable(name)
+    written_table(name)
     return spark.table(name)
 
 
@@ -228,7 +229,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kept_text is the words that no repeated window covers, joined by one space; windows are
     judged on the input.  Each row is a document of its own: repeated rows and ids are copies
     and remove each other's words.  Null and empty texts have no words; documents under LENGTH
-    words lose none; an empty table gives no rows; other columns are not carried.
+    words lose none; null ids are carried; an empty table gives no rows; other columns are not carried.
+    A result column named like ``id_col`` gives way to it.
     """
     packed = pack(df, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
@@ -257,10 +259,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                         pa.array(counts[at:stop], pa.int64()),
                         pa.array(kept[at:stop], pa.string()),
                     ],
-                    names=[id_col, "n_words", "n_removed", "kept_text"],
+                    names=["__id", "n_words", "n_removed", "kept_text"],
                 )
 
-    return _attach(with_anchors, windows).mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+    done = _attach(with_anchors, windows).mapInArrow(finish, f"__id {kind}, n_words long, n_removed long, kept_text string")
+    return with_id(done, id_col)
 
 
 ORACLE = r"""

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,3 +47,22 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DIR).columns == docs.columns
+
+
+def test_odd_rows_and_names(spark):
+    good = "The cat and the dog of that house are in the garden with it, for he was on the way to be by the tree. "
+    other = "It was not that long a day and they had this to do in all of the rooms that he was shown by her at the end. "
+    rows = [(1, good, "en", "a", 1, "x"), (1, good, "en", "a", 1, "x"), (None, other + "Mail a@b.org.", None, None, None, None), (2, None, "en", "a", 0, "y"), (3, "", None, "b", 0, None), (4, good * 400, "en", "a", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumn("class_id", F.lit(5))
+    for empty in (False, True):
+        some = docs.limit(0) if empty else docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            some = stage(spark, some, DIR)
+            assert some.columns == docs.columns
+        got = sorted((r.doc_id or 0, r.text[-8:], r.kept or "") for r in some.collect())
+        assert got == ([] if empty else [(0, "[EMAIL].", ""), (1, good[-8:], "x")])
+        last = corpus_pipeline.STAGES[-1][1](spark, some, DIR)
+        assert last.columns == ["doc_id", "n_tokens", "ids", "decoded"] and last.count() == len(got)
+    one = spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = [stage(spark, one, DIR).count() for _, stage in corpus_pipeline.STAGES]
+    assert counts == [0, 1, 2, 2, 2]

@@ -123,3 +123,44 @@ def test_edr_and_mounts(spark):
     keys = spark.createDataFrame([("u", "##FS#share", "133485408000000000"), ("u", "C", "1"), ("u", "##X#y", "0")], "user string, key string, last_write string")
     assert [(r.dst_computer, r.detail) for r in files.mount_points(keys).collect()] == [("FS", "\\\\FS\\share")]
     assert F is not None
+
+
+def machine(line, delimiter=",", quote='"'):
+    """Fields by a state machine, as a quoted CSV line is read."""
+    out, field, inside, k = [], "", False, 0
+    while k < len(line):
+        c = line[k]
+        if c == quote:
+            if inside and line[k + 1 : k + 2] == quote:
+                field, k = field + quote, k + 1
+            else:
+                inside = not inside
+        elif c == delimiter and not inside:
+            out.append(field.strip(" "))
+            field = ""
+        else:
+            field += c
+        k += 1
+    return [*out, field.strip(" ")]
+
+
+def test_csv_fields_equal_a_state_machine(spark):
+    import itertools
+    import time
+
+    values = ["".join(x) for n in range(7) for x in itertools.product('a,"', repeat=n)]
+    df = lines(spark, values).select("line", custom_rules.csv_fields(F.col("line"), ",", '"').alias("f"))
+    assert all(r.f == machine(r.line) for r in df.collect())
+    began = time.perf_counter()
+    long = lines(spark, ['"a",' * 2_500_000, "x" * 10_000_000, '"' + "a," * 5_000_000, '""' * 4_000_000])
+    sizes = [r[0] for r in long.select(F.size(custom_rules.csv_fields(F.col("line"), ",", '"'))).collect()]
+    assert sizes == [2_500_001, 1, 1, 1]
+    assert [r[0] for r in long.select(F.size(files.split_csv(F.col("line")))).collect()] == sizes
+    assert time.perf_counter() - began < 90
+
+
+def test_last_value_of_a_key_wins_in_long_lines(spark):
+    text = " ".join(f"k{n % 1000}={n}" for n in range(100_000))
+    got = lines(spark, [text, "a=1 b=2 a= b", ""]).select(custom_rules.key_values(F.col("line")).alias("m")).collect()
+    assert got[0].m == {f"k{n}": str(99_000 + n) for n in range(1000)}
+    assert got[1].m == {"a": "", "b": "2"} and got[2].m == {}

@@ -19,18 +19,33 @@ MAX_PAIRS = 2_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """The rows written to ``spark.checkpoint.dir`` and read again.
+
+    Where that is unset a local master (tests) gets a temporary folder; on a cluster it is an error.
+    """
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
     return df.checkpoint()
 
 
+def link_counts(edges: DataFrame) -> DataFrame:
+    """(origin, destination, w): distinct pairs and their edges."""
+    return edges.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("w"))
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(host, rank) after a fixed number of rounds over the multigraph; ranks sum to about 1.
 
-    Ranks of hosts without outgoing edges are spread over all hosts.
+    Ranks of hosts without outgoing edges are spread over all hosts.  The edges are read once.
     """
-    links = edges.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("w"))
+    return pagerank_of_links(cut(link_counts(edges)), rounds, damping, every)
+
+
+def pagerank_of_links(links: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
+    """The same over distinct pairs with their number of edges ``w``."""
     out = links.groupBy(F.col("origin").alias("o")).agg(F.sum("w").alias("out"))
     shares = links.join(out, F.col("origin") == F.col("o")).select("origin", "destination", (F.col("w") / F.col("out")).alias("p"))
     hosts = links.select(F.col("origin").alias("host")).union(links.select("destination")).distinct()
@@ -51,7 +66,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: i
 
 
 def _pairs(edges: DataFrame) -> pd.DataFrame:
-    pairs = edges.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("w")).limit(MAX_PAIRS + 1).toPandas()
+    pairs = link_counts(edges).limit(MAX_PAIRS + 1).toPandas()
     if len(pairs) > MAX_PAIRS:
         raise ValueError(f"over {MAX_PAIRS} distinct pairs: aggregate hosts first")
     return pairs

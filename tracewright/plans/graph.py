@@ -116,6 +116,6 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def mode_probe(edges: DataFrame) -> DataFrame:
     """(mode, tuples, repeated): Ungrouped if some (source, target, user, type) has two times."""
-    tuples = edges.groupBy("origin", "destination", "rel_type", "logon_type").agg(F.count_distinct("time").alias("times"))
-    got = tuples.agg(F.count(F.lit(1)).alias("tuples"), F.count_if(F.col("times") > 1).alias("repeated"))
+    tuples = edges.groupBy("origin", "destination", "rel_type", "logon_type").agg((F.min("time") < F.max("time")).alias("twice"))
+    got = tuples.agg(F.count(F.lit(1)).alias("tuples"), F.count_if("twice").alias("repeated"))
     return got.select(F.when(F.col("tuples") == 0, "Empty").when(F.col("repeated") > 0, "Ungrouped").otherwise("Grouped").alias("mode"), "tuples", "repeated")

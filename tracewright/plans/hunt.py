@@ -81,7 +81,7 @@ def novel_edge(edges: DataFrame, cutoff: str) -> DataFrame:
     n = sum(F.col(c).cast("int") for c in ("new_pair", "new_user", "new_type"))
     why = F.array_join(F.array_compact(F.array(*[F.when(F.col(c), F.lit(t)) for c, t in (("new_pair", "pair"), ("new_user", "user at host"), ("new_type", "type at host"))])), "; ")
     text = F.concat(F.col("origin"), F.lit(" -> "), F.col("destination"), F.lit(" by "), F.col("rel_type"), F.lit(" type "), F.col("logon_type"), F.lit(", new: "), why)
-    return _finding(win.where((n > 0) & (F.col("destination") != "")), "novel-edge", F.col("destination"), _text(F.col("time")), F.round(n / 3, 6), text)
+    return _finding(win.where((n > 0) & (F.col("origin") != "") & (F.col("destination") != "")), "novel-edge", F.col("destination"), _text(F.col("time")), F.round(n / 3, 6), text)
 
 
 def rare_logon_type(edges: DataFrame, cutoff: str) -> DataFrame:
@@ -90,7 +90,7 @@ def rare_logon_type(edges: DataFrame, cutoff: str) -> DataFrame:
     total = types.agg(F.sum("n").alias("total")).where("total > 0")
     win = window(edges, cutoff).join(F.broadcast(total)).join(types.withColumnRenamed("logon_type", "t"), F.col("logon_type") == F.col("t"), "left")
     share = F.coalesce("n", F.lit(0)) / F.col("total")
-    win = win.withColumn("share", share).where((F.col("share") < RARE_SHARE) & (F.col("destination") != ""))
+    win = win.withColumn("share", share).where((F.col("share") < RARE_SHARE) & (F.col("origin") != "") & (F.col("destination") != ""))
     text = F.concat(F.lit("type "), F.col("logon_type"), F.lit(" from "), F.col("origin"), F.lit(" by "), F.col("rel_type"))
     return _finding(win, "rare-logon-type", F.col("destination"), _text(F.col("time")), F.round(1 - F.least(F.col("share") / RARE_SHARE, F.lit(1.0)), 6), text)
 
@@ -118,21 +118,31 @@ def cred_rotation(edges: DataFrame, cutoff: str) -> DataFrame:
     return _finding(got, "cred-rotation", F.col("origin"), F.concat(_text(F.col("a")), F.lit(" .. "), _text(F.col("b"))), F.round(score, 6), text)
 
 
-def _spike(edges: DataFrame, cutoff: str, measure: DataFrame, column: str, name: str) -> DataFrame:
-    before = F.col("time") < F.lit(cutoff).cast("timestamp_ntz")
-    into = edges.groupBy("destination").agg(F.count_if(before).alias("base"), F.count_if(~before).alias("win")).where("win > 0 AND destination <> ''")
+def _spike(into: DataFrame, cutoff: str, measure: DataFrame, column: str, name: str) -> DataFrame:
+    """``into``: (destination, base, win), in-edges before and since the cutoff."""
+    into = into.where("win > 0 AND destination <> ''")
     ratio = F.col("win") / (F.col("base") + F.col("win"))
     got = into.join(measure, F.col("destination") == F.col("host")).select("destination", "base", "win", F.round(F.col(column) * ratio, 6).alias("s"))
     text = F.concat(F.col("win").cast("string"), F.lit(" of "), (F.col("base") + F.col("win")).cast("string"), F.lit(" in-edges since the cutoff"))
     return _finding(got.where(F.col("s") >= SPIKE), name, F.col("destination"), F.lit(f"from {cutoff}"), F.col("s"), text)
 
 
+def _links(edges: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs with their edges, and the in-edges of each destination; the edges are read once."""
+    before = F.col("time") < F.lit(cutoff).cast("timestamp_ntz")
+    counts = F.count(F.lit(1)).alias("w"), F.count_if(before).alias("base"), F.count_if(~before).alias("win")
+    links = algorithms.cut(edges.groupBy("origin", "destination").agg(*counts))
+    return links, links.groupBy("destination").agg(F.sum("base").alias("base"), F.sum("win").alias("win"))
+
+
 def pagerank_spike(edges: DataFrame, cutoff: str) -> DataFrame:
-    return _spike(edges, cutoff, algorithms.pagerank(edges), "rank", "pagerank-spike")
+    links, into = _links(edges, cutoff)
+    return _spike(into, cutoff, algorithms.pagerank_of_links(links.select("origin", "destination", "w")), "rank", "pagerank-spike")
 
 
 def betweenness_spike(edges: DataFrame, cutoff: str) -> DataFrame:
-    return _spike(edges, cutoff, algorithms.betweenness(edges), "betweenness", "betweenness-spike")
+    links, into = _links(edges, cutoff)
+    return _spike(into, cutoff, algorithms.betweenness(links), "betweenness", "betweenness-spike")
 
 
 def community_bridge(edges: DataFrame, cutoff: str) -> DataFrame:
@@ -153,8 +163,8 @@ RUN = {
 
 
 def run_all(edges: DataFrame, cutoff: str, only: list[str] | None = None, skip: list[str] | None = None, grouped: bool = False) -> DataFrame:
-    """Findings of the enabled detectors, in the fixed order."""
-    out = None
+    """Findings of the enabled detectors, in the fixed order.  The edges are written once and read by all."""
+    out, edges = None, algorithms.cut(edges)
     for k, name in enumerate(DETECTORS):
         if (only and name not in only) or name in (skip or []) or (grouped and name in UNGROUPED_ONLY):
             continue
@@ -166,12 +176,16 @@ def run_all(edges: DataFrame, cutoff: str, only: list[str] | None = None, skip:
 
 
 def ranked(findings: DataFrame, top: int | None = None) -> DataFrame:
-    """Findings with their rank by score; ties by detector, host, time and text.
+    """Findings with their rank by score (long, from 1); ties by detector, host, time and text.
 
-    The rank is a position over everything, so ranking needs one ordered pass; ``top`` bounds
-    what reaches it.
+    The sorted findings are written once; a rank is the place in its partition and the sum of those
+    before, so no task sees them all.
     """
     order = [F.desc("score"), "detector_ordinal", "host", "time_window", "summary"]
-    if top:
-        findings = findings.orderBy(*order).limit(top)
-    return findings.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("rank", *FINDING)
+    findings = findings.orderBy(*order)
+    rows = algorithms.cut(findings.limit(top) if top else findings)
+    place = F.monotonically_increasing_id()
+    rows = rows.select("*", F.shiftright(place, 33).cast("int").alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    sizes = rows.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), F.col("__part") == F.col("__p")).select((F.col("__before") + F.col("__place") + 1).alias("rank"), *FINDING)

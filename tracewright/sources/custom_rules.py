@@ -9,11 +9,13 @@ field again, and its failure is ignored.  ``map`` fills columns from ``${name}``
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.net import bound
 from tracewright.schema import TIMELINE
 
 # Internal names of columns in rules, and the keys a rule may have.
@@ -84,13 +86,26 @@ def _matches(line: Column, spec: dict) -> Column:
 
 
 def csv_fields(line: Column, delimiter: str = ",", quote: str | None = None) -> Column:
-    """Trimmed fields.  With a quote, delimiters inside quotes do not cut and doubled quotes are one."""
+    """Trimmed fields.  With a quote, delimiters inside quotes do not cut and doubled quotes are one.
+
+    A quote that is never closed holds the rest of the line.  The patterns are possessive, so a line
+    of any length is read once and without recursion.
+    """
     if not quote:
         return F.transform(F.split(line, re.escape(delimiter), -1), F.trim)
+    return F.transform(quoted_fields(line, delimiter, quote), lambda x: F.trim(unquoted(F.trim(x), quote)))
+
+
+def unquoted(field: Column, quote: str) -> Column:
+    """A field without the quotes around its quoted runs; doubled ones inside stand for one."""
+    q = re.escape(quote)
+    return F.replace(F.regexp_replace(field, f"(?s){q}((?:[^{q}]++|{q}{q})*+)(?:{q}|\\z)", "$1"), F.lit(quote * 2), F.lit(quote))
+
+
+def quoted_fields(line: Column, delimiter: str = ",", quote: str = '"') -> Column:
+    """The fields of a line as they stand, cut at delimiters outside quotes."""
     d, q = re.escape(delimiter), re.escape(quote)
-    cut = F.split(line, f"{d}(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)", -1)
-    bare = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), f"{q}{q}", "\u0001"), q, ""), "\u0001", quote)
-    return F.transform(cut, lambda x: F.trim(bare(x)))
+    return F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f"(?s){d}((?:[^{q}{d}]++|{q}[^{q}]*+(?:{q}|\\z))*+)"), F.lit(1))
 
 
 def key_values(line: Column, pair_sep: str = " ", kv_sep: str = "=") -> Column:
@@ -98,12 +113,23 @@ def key_values(line: Column, pair_sep: str = " ", kv_sep: str = "=") -> Column:
 
     Pairs are cut at every separator, inside quotes too; the last value of a key wins.
     """
-    cut = F.filter(F.split(line, re.escape(pair_sep), -1), lambda x: F.instr(x, kv_sep) > 0)
     at = lambda x: F.instr(x, kv_sep)
     value = lambda x: F.btrim(F.btrim(F.trim(x.substr(at(x) + len(kv_sep), F.length(x))), F.lit('"')), F.lit("'"))
-    pairs = F.transform(cut, lambda x: F.struct(F.trim(x.substr(F.lit(1), at(x) - 1)).alias("key"), value(x).alias("value")))
-    last = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda o: o["key"] == p["key"]))
-    return F.map_from_entries(last)
+    pair = lambda x, k: F.struct(F.trim(x.substr(F.lit(1), at(x) - 1)).alias("key"), k.alias("k"), value(x).alias("value"))
+    pairs = F.transform(F.filter(F.split(line, re.escape(pair_sep), -1), lambda x: F.instr(x, kv_sep) > 0), pair)
+    return bound(F.filter(pairs, lambda p: p["key"] != ""), last_wins)
+
+
+def last_wins(pairs: Column) -> Column:
+    """Map of (key, k, value) structs; of equal keys the one of the highest k.
+
+    Sorted by key and place, a pair is the last of its key where the next one has another key.
+    """
+
+    def kept(ordered: Column) -> Column:
+        return F.filter(ordered, lambda p, n: ~F.coalesce(F.get(ordered, n + 1)["key"] == p["key"], F.lit(False)))
+
+    return bound(F.array_sort(pairs), lambda ordered: F.map_from_entries(F.transform(kept(ordered), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))))
 
 
 def _extract(line: Column, spec: dict) -> tuple[Column, Column]:
@@ -142,24 +168,40 @@ def parse(lines: DataFrame, rules: list[dict], line_col: str = "line", carry: li
     line = F.col(line_col)
     specials = [F.struct(F.lit(n).alias("key"), (F.col(c).cast("string") if c else F.lit("")).alias("value")) for n, c in (("__source_file", file_col), ("__line_number", number_col))]
     chosen = F.lit(None).cast(f"struct<parser:string,{','.join(f'{c}:string' for c in TIMELINE)}>")
+    file = F.col(file_col).cast("string") if file_col else F.lit("")
+
+    def row(p: dict, fields: Column) -> Column:
+        mapped = {ALIASES.get(k, k): template(str(v), fields) for k, v in p.get("map", {}).items()}
+        mapped["log_filename"] = F.coalesce(F.nullif(mapped["log_filename"], F.lit("")), file) if "log_filename" in mapped else file
+        return F.struct(F.lit(p.get("name", "")).alias("parser"), *[mapped.get(c, F.lit("")).alias(c) for c in TIMELINE])
+
+    def sub_fields(sub: dict, fields: Column) -> Column:
+        text = F.coalesce(F.try_element_at(fields, F.lit(sub["field"])), F.lit(""))
+        if needle := sub.get("strip_before"):
+            text = bound(text, lambda t: F.when(F.instr(t, needle) > 0, t.substr(F.instr(t, needle) + len(needle), F.length(t))).otherwise(t))
+        return bound(text, lambda t: F.when(_extract(t, sub)[0], _joined(fields, _extract(t, sub)[1])).otherwise(fields))
+
     for rule in reversed(rules):
         before = _contains(line, rule.get("prefilter") or {})
         for p in reversed(rule.get("parsers", [])):
             ok, fields = _extract(line, p["extract"])
-            fields = _joined(F.map_from_entries(F.array(*specials)), fields)
-            if sub := p.get("sub_extract"):
-                text = F.coalesce(F.try_element_at(fields, F.lit(sub["field"])), F.lit(""))
-                if needle := sub.get("strip_before"):
-                    found = F.instr(text, needle)
-                    text = F.when(found > 0, text.substr(found + len(needle), F.length(text))).otherwise(text)
-                good, more = _extract(text, sub)
-                fields = F.when(good, _joined(fields, more)).otherwise(fields)
-            mapped = {ALIASES.get(k, k): template(str(v), fields) for k, v in p.get("map", {}).items()}
-            name = F.coalesce(F.nullif(mapped["log_filename"], F.lit("")), F.col(file_col) if file_col else F.lit("")) if "log_filename" in mapped else (F.col(file_col) if file_col else F.lit(""))
-            mapped["log_filename"] = name
-            row = F.struct(F.lit(p.get("name", "")).alias("parser"), *[mapped.get(c, F.lit("")).alias(c) for c in TIMELINE])
-            chosen = F.when(before & _matches(line, p.get("match") or {}) & ok, row).otherwise(chosen)
-    return lines.withColumn("__row", chosen).where("__row IS NOT NULL").select("__row.*", *(carry or []))
+            fields = _joined(F.map_from_entries(F.array(*specials)), fields) if _uses_specials(p) else fields
+            made = bound(fields, _row_maker(p, row, sub_fields))
+            chosen = F.when(before & _matches(line, p.get("match") or {}) & ok, made).otherwise(chosen)
+    # through a generator, so that the filter and each column use the row instead of computing it again
+    kept = lines.select(*(carry or []), F.explode(F.array(chosen)).alias("__row")).where("__row IS NOT NULL")
+    return kept.select("__row.*", *(carry or []))
+
+
+def _row_maker(p: dict, row: Callable, sub_fields: Callable) -> Callable[[Column], Column]:
+    """Row of a parser from its fields; each step is bound to a name, so that it runs once a line however many templates refer to it."""
+    if sub := p.get("sub_extract"):
+        return lambda fields: bound(sub_fields(sub, fields), lambda more: row(p, more))
+    return lambda fields: row(p, fields)
+
+
+def _uses_specials(p: dict) -> bool:
+    return "__source_file" in str(p) or "__line_number" in str(p)
 
 
 def rejected(lines: DataFrame, rules: list[dict], line_col: str = "line", limit: int = 20) -> DataFrame:

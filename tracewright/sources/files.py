@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import tag_text
 from tracewright.functions.times import hive_time
+from tracewright.sources.custom_rules import quoted_fields
 from tracewright.schema import LEGACY, TIMELINE, TIMELINE_SCHEMA, as_timeline, legacy_to_timeline
 
 # Names of evidence files, system accounts.
@@ -96,8 +97,7 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 def split_csv(line: Column) -> Column:
     """Fields of a CSV line; quoted ones may hold commas, and doubled quotes stand for one."""
-    cut = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(cut, lambda x: F.when(x.rlike('(?s)^".*"$'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.transform(quoted_fields(line), lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 def write_timeline(df: DataFrame, path: str, single: bool = True, skip_empty: bool = False) -> None:

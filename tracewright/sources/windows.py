@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import classify, detail, domain_of, infer_logon_type, short_host, strip_mapped, tag_text, user_of, winrm_host
 from tracewright.schema import as_timeline
+from tracewright.sources.custom_rules import last_wins
 
 # Providers and the event ids kept of each.
 P = "Microsoft-Windows-"
@@ -37,9 +38,7 @@ def _decoded(text: Column) -> Column:
 
 
 def _last_wins(keys: Column, values: Column) -> Column:
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    kept = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_arrays(F.transform(kept, lambda p: p["k"]), F.transform(kept, lambda p: p["v"]))
+    return last_wins(F.transform(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda p, k: F.struct(p["key"].alias("key"), k.alias("k"), p["value"].alias("value"))))
 
 
 def from_xml(df: DataFrame, xml_col: str = "xml") -> DataFrame:

@@ -35,6 +35,15 @@ def parse_bound(text: str) -> datetime:
     return datetime.strptime(text.strip()[:19].replace("T", " "), "%Y-%m-%d %H:%M:%S")
 
 
+def valid_bound(text: str) -> bool:
+    """Whether a command-line bound can be read; only its first 19 characters count."""
+    try:
+        parse_bound(text)
+    except ValueError:
+        return False
+    return True
+
+
 def iso(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

@@ -28,6 +28,23 @@ def merge(frames: list[DataFrame], start: datetime | None = None, end: datetime
     return out.dropDuplicates(list(TIMELINE))
 
 
+def load_window(df: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """The rows inside the window (both ends included) and those whose time does not parse: a graph load keeps these."""
+    time = parse_time(F.col("time_created"))
+    out = df
+    if start:
+        out = out.where(F.coalesce(time >= F.lit(start), F.lit(True)))
+    if end:
+        out = out.where(F.coalesce(time <= F.lit(end), F.lit(True)))
+    return out
+
+
+def with_fallback(windows: DataFrame | None, linux: DataFrame | None) -> DataFrame | None:
+    """Both timelines as one, or the one there is."""
+    found = [x for x in (windows, linux) if x is not None]
+    return merge(found) if len(found) > 1 else (found or [None])[0]
+
+
 def ordered(df: DataFrame, by: str = "event_time", ordinal: str | None = None) -> DataFrame:
     """All rows by time, then by order of ingest if it is given and by all columns, so that equal times have a fixed order."""
     return df.orderBy(by, *([ordinal] if ordinal else []), *TIMELINE)

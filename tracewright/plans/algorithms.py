@@ -7,7 +7,6 @@ betweenness and Louvain need the whole adjacency in a task, so both refuse graph
 
 from __future__ import annotations
 
-import tempfile
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,20 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAIRS = 2_000_000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to ``spark.checkpoint.dir`` and read again.
+from tracewright.operators.order import cut
 
-    Where that is unset a local master (tests) gets a temporary folder; on a cluster it is an error.
-    """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
-    return df.checkpoint()
+MAX_PAIRS = 2_000_000
 
 
 def link_counts(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.scalars import LOCAL, clean_host, clean_user, ip_like, rel_type, upper_name
 from tracewright.functions.times import parse_time
 from tracewright.operators.filters import loader_noise
-from tracewright.schema import TIMELINE
+from tracewright.schema import EDGE, TIMELINE
 
 
 def normalise(df: DataFrame, parity: bool = True) -> DataFrame:
@@ -119,3 +119,55 @@ def mode_probe(edges: DataFrame) -> DataFrame:
     tuples = edges.groupBy("origin", "destination", "rel_type", "logon_type").agg((F.min("time") < F.max("time")).alias("twice"))
     got = tuples.agg(F.count(F.lit(1)).alias("tuples"), F.count_if("twice").alias("repeated"))
     return got.select(F.when(F.col("tuples") == 0, "Empty").when(F.col("repeated") > 0, "Ungrouped").otherwise("Grouped").alias("mode"), "tuples", "repeated")
+
+
+def statements(edges: DataFrame, grouped: bool = False) -> DataFrame:
+    """(statement, parameters): one graph statement for each edge, parameters as JSON.
+
+    Hosts are merged by name.  An ungrouped edge is created; a grouped one is merged by its logon type
+    and the user it is named after, and takes the other properties.  Run them with ``send``.
+    """
+    own = [c for c in EDGE if c not in ("origin", "destination", "rel_type")]
+    hosts = "MERGE (a:host {name: $origin}) MERGE (b:host {name: $destination}) "
+    kind = F.concat(F.lit("`"), F.replace(F.col("rel_type"), F.lit("`"), F.lit("``")), F.lit("`"))
+    tail = "{logon_type: $logon_type}]->(b) SET r += $properties" if grouped else "]->(b) SET r = $properties"
+    verb = "MERGE (a)-[r:" if grouped else "CREATE (a)-[r:"
+    time = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time")
+    properties = F.struct(*[time if c == "time" else F.col(c) for c in own]).alias("properties")
+    keys = ["origin", "destination", *["logon_type"] * grouped]
+    return edges.select(F.concat(F.lit(hosts + verb), kind, F.lit(" " * grouped + tail)).alias("statement"), F.to_json(F.struct(*keys, properties)).alias("parameters"))
+
+
+def send(edges: DataFrame, connect, grouped: bool = False) -> None:
+    """Run the statements from the executors.  ``connect`` opens a session there: an object with ``run(statement, parameters)`` and ``close()``."""
+    import json
+
+    def partition(rows) -> None:
+        session = connect()
+        try:
+            for r in rows:
+                session.run(r.statement, json.loads(r.parameters))
+        finally:
+            session.close()
+
+    statements(edges, grouped).foreachPartition(partition)
+
+
+def export(edges: DataFrame, path: str) -> None:
+    """Hosts and edges as tables below a folder, edges by relation type: the form for a bulk import."""
+    nodes(edges).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
+
+
+def load_summary(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows, edges, hosts, users, repeated (edges that a grouped load would fold): one row."""
+    named = nodes(edges).agg(F.count(F.lit(1)).alias("hosts"))
+    got = edges.groupBy("origin", "destination", "rel_type", "logon_type").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    users = edges.agg(F.count_distinct("rel_type").alias("users"))
+    read = rows.agg(F.count(F.lit(1)).alias("rows"))
+    return read.crossJoin(F.broadcast(got)).crossJoin(F.broadcast(named)).crossJoin(F.broadcast(users))  # one row each
+
+
+def mode_note(mode: str) -> str:
+    """What a report says of a grouped graph; nothing of others."""
+    return "" if mode != "Grouped" else "The graph holds one edge for each user and type: detectors that need every event (chain-motif, cred-rotation) are left out and counts are those of groups."

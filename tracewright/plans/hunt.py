@@ -6,11 +6,13 @@ strictly before the cutoff; rows without a host are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import csv_escape
 from tracewright.functions.times import gap_seconds
+from tracewright.operators.order import numbered
 from tracewright.operators.timeline import bucketed_interval_join
 from tracewright.plans import algorithms
 
@@ -176,16 +178,33 @@ def run_all(edges: DataFrame, cutoff: str, only: list[str] | None = None, skip:
 
 
 def ranked(findings: DataFrame, top: int | None = None) -> DataFrame:
-    """Findings with their rank by score (long, from 1); ties by detector, host, time and text.
-
-    The sorted findings are written once; a rank is the place in its partition and the sum of those
-    before, so no task sees them all.
-    """
+    """Findings with their rank by score (long, from 1); ties by detector, host, time and text."""
     order = [F.desc("score"), "detector_ordinal", "host", "time_window", "summary"]
-    findings = findings.orderBy(*order)
-    rows = algorithms.cut(findings.limit(top) if top else findings)
-    place = F.monotonically_increasing_id()
-    rows = rows.select("*", F.shiftright(place, 33).cast("int").alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
-    sizes = rows.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return rows.join(F.broadcast(before), F.col("__part") == F.col("__p")).select((F.col("__before") + F.col("__place") + 1).alias("rank"), *FINDING)
+    if top:
+        findings = findings.orderBy(*order).limit(top)
+    return numbered(findings, *order, name="rank").select("rank", *FINDING)
+
+
+def snippet(host: Column, time_window: Column) -> Column:
+    """A graph query that shows a finding: the edges of its host, inside its time where it has one."""
+    name = F.replace(host, F.lit("'"), F.lit("\\'"))
+    start = F.regexp_extract(time_window, r"^(\d{4}-\d\d-\d\dT[0-9:.]+)", 1)
+    end = F.regexp_extract(time_window, r"(\d{4}-\d\d-\d\dT[0-9:.]+)$", 1)
+    when = F.when(start != "", F.concat(F.lit(" AND r.time >= '"), start, F.lit("' AND r.time <= '"), end, F.lit("'"))).otherwise("")
+    return F.concat(F.lit("MATCH (a)-[r]->(b) WHERE (a.name = '"), name, F.lit("' OR b.name = '"), name, F.lit("')"), when, F.lit(" RETURN a, r, b"))
+
+
+#: Fixed value: the header of a findings file.
+FINDINGS_HEADER = "rank,score,detector,host,time_window,summary,cypher_snippet"
+
+
+def csv_lines(found: DataFrame) -> DataFrame:
+    """(rank, value): ranked findings as lines of a CSV file."""
+    parts = [F.col("rank").cast("string"), F.format_string("%.4f", F.col("score")), F.col("detector"), *[csv_escape(F.col(c)) for c in ("host", "time_window", "summary")]]
+    return found.select("rank", F.concat_ws(",", *parts, csv_escape(snippet(F.col("host"), F.col("time_window")))).alias("value"))
+
+
+def write_findings(found: DataFrame, path: str) -> None:
+    """Ranked findings as text files with the header, in order of rank; one file, as it is a report."""
+    head = found.sparkSession.createDataFrame([(0, FINDINGS_HEADER)], "rank long, value string")
+    csv_lines(found).unionByName(head).orderBy("rank").select("value").coalesce(1).write.mode("overwrite").text(path)

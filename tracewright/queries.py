@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright import fixture, schema
+from tracewright import fixture, schema, source_queries
 from tracewright.fixture import CUTOFF, SQL
 from tracewright.functions import scalars as x
 from tracewright.operators import filters, timeline
@@ -461,14 +461,61 @@ def detect_pagerank_spike(spark, d):
     return hunt.pagerank_spike(e(spark, d), CUTOFF)
 
 
-@query()
+#: Shortest paths of every length up to this one are written out: the fixture's hosts are 100, its paths far shorter.
+_LEVELS = 12
+
+
+def _betweenness_sql() -> str:
+    """Distances and numbers of shortest paths level by level, then the share of each host between two others."""
+    out = """, bl AS MATERIALIZED (SELECT DISTINCT origin, destination FROM edges), bh AS MATERIALIZED (SELECT origin AS host FROM bl UNION SELECT destination FROM bl),
+    s0 AS MATERIALIZED (SELECT host AS s, host AS v, 1.0::DOUBLE AS paths, 0 AS dist FROM bh), seen0 AS MATERIALIZED (SELECT s, v FROM s0)"""
+    for k in range(_LEVELS):
+        out += f""", s{k + 1} AS MATERIALIZED (SELECT p.s, l.destination AS v, sum(p.paths) AS paths, {k + 1} AS dist FROM s{k} p JOIN bl l ON l.origin = p.v
+          WHERE NOT EXISTS (SELECT 1 FROM seen{k} x WHERE x.s = p.s AND x.v = l.destination) GROUP BY 1, 2), seen{k + 1} AS MATERIALIZED (SELECT * FROM seen{k} UNION ALL SELECT s, v FROM s{k + 1})"""
+    out += ", sp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, _LEVELS + 1)) + ")"
+    return out + """, bt AS MATERIALIZED (SELECT bh.host, coalesce(x.share, 0) / (SELECT CASE WHEN count(*) > 2 THEN (count(*) - 1) * (count(*) - 2) ELSE 1 END FROM bh) AS betweenness FROM bh LEFT JOIN (
+      SELECT a.v AS host, sum(a.paths * b.paths / st.paths) AS share FROM sp a JOIN sp b ON b.s = a.v JOIN sp st ON st.s = a.s AND st.v = b.v AND st.dist = a.dist + b.dist WHERE a.s <> b.v GROUP BY 1) x ON x.host = bh.host)"""
+
+
+_BETWEENNESS = f"""SELECT 'betweenness-spike' AS detector, destination AS host, 'from {CUTOFF}' AS time_window, s AS score, win || ' of ' || (base + win) || ' in-edges since the cutoff' AS summary
+  FROM (SELECT destination, base, win, round(bt.betweenness * win / (base + win), 6) AS s FROM (SELECT destination, count(*) FILTER (WHERE time < TIMESTAMP '{CUTOFF}') AS base, count(*) FILTER (WHERE time >= TIMESTAMP '{CUTOFF}') AS win
+  FROM edges GROUP BY 1) i JOIN bt ON bt.host = i.destination WHERE win > 0) WHERE s >= 0.0001"""
+
+
+@query(edges_sql(_betweenness_sql() + " " + _BETWEENNESS))
 def detect_betweenness_spike(spark, d):
     return hunt.betweenness_spike(e(spark, d), CUTOFF)
 
 
-@query()
+@query(edges_sql(_betweenness_sql() + " SELECT host, round(betweenness, 6) AS betweenness FROM bt"))
+def betweenness_hosts(spark, d):
+    return algorithms.betweenness(e(spark, d)).select("host", F.round("betweenness", 6).alias("betweenness"))
+
+
+def two_halves(spark, d) -> DataFrame:
+    """Edges in two communities of 20 hosts; bridges are rare, and those of hosts 1 to 9 in each half come after the cutoff only."""
+    o, t, side = F.col("user_id") % 20, (F.col("event_id") / 3).cast("long") % 20, F.col("user_id") % 2
+    bridge = (F.col("event_id") % 50 == 0) & ((o % 10 == 0) | (F.col("ts") >= F.lit(CUTOFF).cast("timestamp_ntz")))
+    host = lambda side, n: F.concat(F.when(side == 0, "A").otherwise("B"), n.cast("string"))
+    made = fixture.events(spark, d).select(host(side, o).alias("origin"), host(F.when(bridge, 1 - side).otherwise(side), t).alias("destination"), F.upper("event_type").alias("rel_type"), F.col("ts").alias("time"))
+    return made.where("origin <> destination")
+
+
+_TWO = f"""WITH h AS (SELECT user_id % 20 AS o, event_id // 3 % 20 AS t, user_id % 2 AS side, upper(event_type) AS rel_type, ts AS time, event_id % 50 = 0 AND (user_id % 20 % 10 = 0 OR ts >= TIMESTAMP '{CUTOFF}') AS bridge FROM events),
+  edges AS (SELECT * FROM (SELECT CASE side WHEN 0 THEN 'A' ELSE 'B' END || o AS origin, CASE WHEN (side = 0) <> bridge THEN 'A' ELSE 'B' END || t AS destination, rel_type, time FROM h) WHERE origin <> destination),
+  b AS (SELECT * FROM edges WHERE time < TIMESTAMP '{CUTOFF}'), w AS (SELECT * FROM edges WHERE time >= TIMESTAMP '{CUTOFF}')"""
+_BRIDGE = f"""SELECT 'community-bridge' AS detector, destination AS host, {_TXT.format('time')} AS time_window, 0.7::DOUBLE AS score, origin || ' -> ' || destination || ' across communities by ' || rel_type AS summary
+  FROM w WHERE origin[1] <> destination[1] AND NOT EXISTS (SELECT 1 FROM b WHERE b.origin = w.origin AND b.destination[1] = w.destination[1])"""
+
+
+@query(f"{_TWO} {_BRIDGE}")
 def detect_community_bridge(spark, d):
-    return hunt.community_bridge(held(spark, d), CUTOFF)
+    return hunt.community_bridge(algorithms.cut(two_halves(spark, d)), CUTOFF)
+
+
+@query(f"{_TWO} SELECT host, min(host) OVER (PARTITION BY host[1]) AS community FROM (SELECT origin AS host FROM edges UNION SELECT destination FROM edges)")
+def communities_hosts(spark, d):
+    return algorithms.communities(two_halves(spark, d))
 
 
 @query(
@@ -482,17 +529,52 @@ def findings_ranked(spark, d):
     return hunt.ranked(hunt.run_all(e(spark, d), CUTOFF, only=only))
 
 
+_SPIKE = f"""SELECT 'pagerank-spike' AS detector, destination AS host, 'from {CUTOFF}' AS time_window, s AS score, win || ' of ' || (base + win) || ' in-edges since the cutoff' AS summary
+  FROM (SELECT destination, base, win, round(r10.rank * win / (base + win), 6) AS s FROM (SELECT destination, count(*) FILTER (WHERE time < TIMESTAMP '{CUTOFF}') AS base, count(*) FILTER (WHERE time >= TIMESTAMP '{CUTOFF}') AS win FROM edges GROUP BY 1) i
+  JOIN r10 ON r10.host = i.destination WHERE win > 0) WHERE s >= 0.0001"""
+#: All detectors; the hosts of the fixture are one community, so none bridges two.
+_ALL = f"""SELECT row_number() OVER (ORDER BY score DESC, k, host, time_window, summary) AS rank, detector, host, time_window, score, summary FROM (
+  SELECT 0 AS k, * FROM ({_NOVEL}) UNION ALL SELECT 2, * FROM ({_RARE}) UNION ALL SELECT 3, * FROM ({_SPIKE}) UNION ALL SELECT 4, * FROM ({_BETWEENNESS}) UNION ALL SELECT 5, * FROM ({_CHAIN}) UNION ALL SELECT 6, * FROM ({_ROTATION}))"""
+
+
 @query()
 def findings_all_detectors(spark, d):
+    """Communities decide rows here, which SQL can't say; the other detectors are in ``findings_but_communities``."""
     return hunt.ranked(hunt.run_all(e(spark, d), CUTOFF))
 
 
-# -- reports and sources -------------------------------------------------------------------------
-@query(with_tl("SELECT log_filename AS source, event_type, count(*) AS n FROM tl GROUP BY 1, 2"))
-def source_breakdown(spark, d):
-    return tl(spark, d).groupBy(F.col("log_filename").alias("source"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+@query(edges_sql(_pagerank_sql() + _betweenness_sql() + " " + _ALL))
+def findings_but_communities(spark, d):
+    return hunt.ranked(hunt.run_all(e(spark, d), CUTOFF, skip=["community-bridge"]))
 
 
+@query(
+    edges_sql(
+        f"""SELECT rank, rank || ',' || printf('%.4f', score) || ',' || detector || ',' || host || ',' || time_window || ',' || summary || ',' || '"MATCH (a)-[r]->(b) WHERE (a.name = ''' || host || ''' OR b.name = ''' || host || ''') AND r.time >= ''' || left(time_window, 26)
+        || ''' AND r.time <= ''' || right(time_window, 26) || ''' RETURN a, r, b"' AS value FROM (SELECT row_number() OVER (ORDER BY score DESC, k, host, time_window, summary) AS rank, * FROM (SELECT 5 AS k, * FROM ({_CHAIN}) UNION ALL SELECT 6, * FROM ({_ROTATION})))"""
+    )
+)
+def findings_csv(spark, d):
+    return hunt.csv_lines(hunt.ranked(hunt.run_all(e(spark, d), CUTOFF, only=["chain-motif", "cred-rotation"])))
+
+
+@query(
+    edges_sql(
+        """SELECT 'MERGE (a:host {name: $origin}) MERGE (b:host {name: $destination}) CREATE (a)-[r:`' || rel_type || '`]->(b) SET r = $properties' AS statement,
+        '{"origin":"' || origin || '","destination":"' || destination || '","properties":{"time":"' || strftime(time, '%Y-%m-%dT%H:%M:%S.%f') || '","logon_type":"' || logon_type || '","src_computer":"' || src_computer || '","src_ip":"' || src_ip
+        || '","target_user_name":"' || target_user_name || '","target_domain_name":"","subject_user_name":"","subject_domain_name":"","count":1}}' AS parameters FROM edges"""
+    )
+)
+def graph_statements(spark, d):
+    return graph.statements(e(spark, d).select(*schema.EDGE))
+
+
+@query(edges_sql("SELECT (SELECT count(*) FROM tl) AS rows, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT origin FROM edges UNION SELECT destination FROM edges)) AS hosts, (SELECT count(DISTINCT rel_type) FROM edges) AS users, (SELECT count(*) FROM edges) - (SELECT count(*) FROM (SELECT DISTINCT origin, destination, rel_type, logon_type FROM edges)) AS repeated"))
+def load_summary(spark, d):
+    return graph.load_summary(tl(spark, d), algorithms.cut(e(spark, d)))
+
+
+# -- sources --------------------------------------------------------------------------------------
 _PORT = "CASE user_id % 4 WHEN 0 THEN '3389' WHEN 1 THEN '445' WHEN 2 THEN '22' ELSE '8080' END"
 
 
@@ -559,3 +641,7 @@ def custom_keyvalue(spark, d):
 @query(edges_sql(_pagerank_sql() + " SELECT host, round(rank, 6) AS rank FROM r10"))
 def pagerank_hosts(spark, d):
     return algorithms.pagerank(e(spark, d)).select("host", F.round("rank", 6).alias("rank"))
+
+
+QUERIES |= source_queries.QUERIES
+ORACLES |= source_queries.ORACLES

@@ -9,10 +9,18 @@ from tracewright.functions import net
 from tracewright.functions.scalars import classify, port_bucket, port_logon_type, strip_mapped, substatus
 from tracewright.functions.times import vendor_time
 from tracewright.schema import TIMELINE, as_timeline
+from tracewright.sources.windows import CHANNELS
 
 # Ports that make the local side the server; ports asked for by default; id lists.
 SERVICE_PORTS = (22, 135, 139, 445, 1433, 3306, 3389, 5900, 5985, 5986)
 DEFAULT_PORTS = (22, 445, 3389, 5985, 5986)
+FORENSIC_IDS = tuple(sorted({i for _, ids in CHANNELS.values() for i in ids}))
+FORENSIC_LOGS = (
+    "Security", "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational", "Microsoft-Windows-SMBServer/Security", "Microsoft-Windows-SmbClient/Security",
+    "Microsoft-Windows-TerminalServices-RDPClient/Operational", "Microsoft-Windows-TerminalServices-RemoteConnectionManager/Operational",
+    "Microsoft-Windows-RemoteDesktopServices-RdpCoreTS/Operational", "Microsoft-Windows-WinRM/Operational", "Microsoft-Windows-WMI-Activity/Operational",
+)
+NOWHERE = ("", "-", "local", "127.0.0.1", "::1", "localhost")
 NETWORK_FIELDS = (
     "_time", "agent_hostname", "action_local_ip", "action_local_port", "action_remote_ip", "action_remote_port",
     "actor_primary_username", "actor_process_command_line",
@@ -55,6 +63,27 @@ def forensics(df: DataFrame, filename: str = "xdr_forensics") -> DataFrame:
     return as_timeline(df, **columns)
 
 
+def forensic_filter(df: DataFrame) -> DataFrame:
+    """The row filters of a forensics query: known ids and logs, a message that says something, a
+    destination and a source that are no local names, and no host that reaches itself.
+
+    ``source`` and ``message`` are looked at where the rows have them.
+    """
+    out = df.where(F.col("event_id").cast("string").isin(*FORENSIC_IDS))
+    if "source" in df.columns:
+        out = out.where(F.lower("source").isin(*[x.lower() for x in FORENSIC_LOGS]))
+    if "message" in df.columns:
+        out = out.where(~F.coalesce("message", F.lit("")).isin("::", "", "-"))
+    says = lambda c: ~F.lower(F.coalesce(c, F.lit(""))).isin(*NOWHERE)
+    itself = lambda c: F.lower(F.coalesce(c, F.lit(""))) == F.lower("dst_host")
+    return out.where((says("source_host") | says("srcip")) & says("dst_host") & ~itself("source_host") & ~itself("srcip"))
+
+
+def ordered(df: DataFrame, time_col: str = "_time") -> list:
+    """The order of records: by time in milliseconds, unreadable times as 0, then by all columns."""
+    return [F.coalesce(F.col(time_col).try_cast("long"), F.lit(0)), *df.columns]
+
+
 def push_down(df: DataFrame, ports: tuple[int, ...] = DEFAULT_PORTS, ips: list[str] | None = None, ignore_local: bool = False) -> DataFrame:
     """The row filters a network query sends to its source."""
     local, remote = F.col("action_local_ip"), F.col("action_remote_ip")

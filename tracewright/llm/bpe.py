@@ -35,7 +35,7 @@ LONG_WORD = 1024
 LEAF = 256
 SPREAD = 65_536
 BLOCK = 16_384
-CACHE = 100_000
+CACHE = 50_000
 # Letters that no normal form changes next to each other, and words of them with ASCII marks behind (an apostrophe may begin a suffix of letters).
 LETTERS = "".join(chr(c) for c in range(0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
 PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
@@ -52,7 +52,7 @@ class WordBpe:
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path = path
+        self.path, self.model = path, self.whole.model
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.text_of = {i: t for t, i in spec["model"]["vocab"].items()}
         self.specials = {t["id"]: t["content"] for t in spec["added_tokens"]}
@@ -64,20 +64,21 @@ class WordBpe:
         self.older: dict[str, bytes] = {}
 
     @cached_property
-    def models(self) -> tuple:
-        """The bare model inside a run and at its end; built only where a text has a long run."""
+    def inner(self):
+        """The bare model inside a run; built only where a text has a long run.
+
+        Inside a run no symbol carries the word end; merges that need it cannot occur there.
+        """
         from tokenizers.models import BPE
 
         with open(self.path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # inside a run no symbol carries the word end; merges that need it cannot occur there
-        inner = [m for m in merges if not m[1].endswith(self.suffix)]
-        return BPE(model["vocab"], inner), BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)
+        merges = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
+        return BPE(model["vocab"], [m for m in merges if not m[1].endswith(self.suffix)])
 
     # -- one run, cut into leaves and joined up the tree ------------------------------------
     def run_ids(self, text: str, last: bool) -> list[int]:
-        return [t.id for t in self.models[last].tokenize(text)] if text else []
+        return [t.id for t in (self.model if last else self.inner).tokenize(text)] if text else []
 
     def surface(self, ids: list[int]) -> str:
         out = "".join(self.text_of[i] for i in ids)
@@ -231,7 +232,7 @@ def encoder(path: str) -> WordBpe:
 def _rows(path: str, want: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in slices(batches, 1024):
+        for part in slices(batches):
             found = bpe.texts(part.column("__text"))
             yield pa.RecordBatch.from_arrays([part.column("__id"), *_columns(bpe, found, want)], names=["__id", *want])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,11 +105,20 @@ def lowest_hashes(df: DataFrame, id_col: str, n: int, *ties: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Bounded slices of Arrow batches, so that Python objects of few rows live at a time."""
+    """Bounded slices of Arrow batches, so that Python objects of few rows live at a time.
+
+    After the last one, memory that the task no longer uses goes back to the system: the worker
+    stays for other operators' tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
-def sha256_hex(column) -> F.Column:
-    return F.sha2(F.encode(column, "UTF-8"), 256)
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from tracewright.functions.scalars import vss_index
 from tracewright.functions.times import vendor_time
 from tracewright.operators import filters, timeline
 from tracewright.operators.order import numbered, shared_dir
-from tracewright.sources import custom_rules, edr, files, linux, ual, windows
+from tracewright.sources import custom_rules, edr, evtx, files, linux, ual, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -499,3 +500,46 @@ def load_time_window(spark, d):
     """A load keeps rows whose time cannot be read."""
     rows = fixture.timeline(spark, d).withColumn("time_created", F.when(F.col("ordinal") % 10 == 0, "unknown").otherwise(F.col("time_created")))
     return timeline.load_window(rows, datetime(2024, 1, 10), datetime(2024, 1, 12, 12)).select("ordinal")
+
+
+# -- binary event logs -----------------------------------------------------------------------------
+def event_logs(spark, d) -> DataFrame:
+    """(path, content): binary logs made of the security records, one for each partition of ``events``."""
+    data = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_replace(v, "&amp;", "&").alias("v")) for k, v in _SECURITY_DATA])
+    provider = F.when(N % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
+    ticks = (F.unix_micros(F.col("ts").cast("timestamp")) + 11_644_473_600_000_000) * 10
+    rows = ev(spark, d).select(N.alias("n"), ticks.alias("ticks"), provider.alias("provider"), pick(N, IDS).cast("int").alias("id"), text("SRV", U % 9, ".corp").alias("computer"), data.alias("data"))
+
+    def run(frames):
+        for frame in frames:
+            items = ((r.n, r.ticks, r.provider, r.id, r.computer, [(x["k"], x["v"]) for x in r.data]) for r in frame.itertuples())
+            yield pd.DataFrame({"path": [f"file:/logs/{frame['n'].iloc[0]}.evtx"], "content": [evtx.log_file(evtx.encode(items))]})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+@query(_SECURITY)
+def source_evtx(spark, d):
+    """Binary logs decoded to XML records and mapped."""
+    return windows.to_timeline(windows.from_xml(evtx.records(evtx.chunks(event_logs(spark, d)))), "Security.evtx")
+
+
+@query("SELECT count(*) AS records, count(*) AS stray, true AS whole FROM events")
+def carve_chunks(spark, d):
+    """Chunks between other bytes, one more with an error, and records outside any chunk."""
+    logs = event_logs(spark, d)
+
+    def shuffle(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                found = [c for _, c in evtx.carved(bytes(content))]
+                raw = bytes(512) + b"".join(bytes(1024) + c for c in found)
+                loose = b"".join(c[512 : evtx.u32(c, 48)] for c in found)
+                yield pd.DataFrame({"path": [path], "content": [raw + bytes(512) + loose + bytes(100)]})
+
+    disk = logs.mapInPandas(shuffle, "path string, content binary")
+    found = evtx.chunks(disk)
+    decoded = evtx.records(found).agg(F.count(F.lit(1)).alias("records"))
+    stray = evtx.orphan_counts(disk).agg(F.sum("n").alias("stray"))
+    whole = found.agg(F.bool_and("whole").alias("whole"))
+    return decoded.crossJoin(F.broadcast(stray)).crossJoin(F.broadcast(whole))  # one row each

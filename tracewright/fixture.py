@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.times import iso
 from tracewright.schema import TIMELINE
+from tracewright.sources import images
 
 CUTOFF = "2024-01-20 00:00:00"
 
@@ -15,6 +19,25 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def image(k: int) -> bytes:
+    """A small disk image of one of seven kinds."""
+    disk = bytearray(16 * images.SECTOR)
+    boot = {0: (8, b"\xebR\x90NTFS    "), 1: (8, b"\xebX\x90-FVE-FS-"), 2: (8, bytes(1080) + b"\x53\xef"), 5: (0, b"\xebR\x90NTFS    ")}.get(k)
+    if boot:
+        at, raw = boot[0] * images.SECTOR, boot[1]
+        disk[at : at + len(raw)] = raw
+    if k < 5:
+        disk[510:512] = b"\x55\xaa"
+        kind = {0: 0x07, 1: 0x07, 2: 0x83, 3: 0xEE, 4: 0xEE}[k]
+        struct.pack_into("<B3xB3xII", disk, 446, 0, kind, 8, 8)
+        if kind == 0xEE:
+            types = [images.BASIC_DATA, "C12A7328-F81F-11D2-BA4B-00A0C93EC93B"] if k == 3 else [images.LVM]
+            struct.pack_into("<8s64xQII", disk, images.SECTOR, b"EFI PART", 2, 4, 128)
+            for n, x in enumerate(types):
+                struct.pack_into("<16s16xQQ", disk, 2 * images.SECTOR + 128 * n, uuid.UUID(x).bytes_le, 8 + n, 9 + n)
+    return bytes(disk)
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 14 columns and ``ordinal`` (order of ingest)."""
     e = events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("long"))

@@ -17,7 +17,7 @@ from tracewright.functions.scalars import vss_index
 from tracewright.functions.times import vendor_time
 from tracewright.operators import filters, timeline
 from tracewright.operators.order import numbered, shared_dir
-from tracewright.sources import custom_rules, edr, evtx, files, linux, ual, windows
+from tracewright.sources import custom_rules, edr, evtx, files, images, linux, ual, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -543,3 +543,74 @@ def carve_chunks(spark, d):
     stray = evtx.orphan_counts(disk).agg(F.sum("n").alias("stray"))
     whole = found.agg(F.bool_and("whole").alias("whole"))
     return decoded.crossJoin(F.broadcast(stray)).crossJoin(F.broadcast(whole))  # one row each
+
+
+# -- disk images -----------------------------------------------------------------------------------
+def _images(spark, d) -> DataFrame:
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [fixture.image(k) for k in frame["k"]]})
+
+    return ev(spark, d).select(text("i", N).alias("path"), (N % 7).cast("int").alias("k")).mapInPandas(run, "path string, content binary")
+
+
+@query(
+    """SELECT 'i' || event_id AS path, ['ntfs', 'bitlocker', 'ext', 'ntfs', 'lvm', 'ntfs', ''][CAST(event_id % 7 AS INT) + 1] AS kind, CAST(CASE WHEN event_id % 7 < 5 THEN 4096 ELSE 0 END AS BIGINT) AS "offset",
+      ['NTFS', 'NTFS', 'Linux', 'Basic Data, EFI System', 'Linux LVM', '', ''][CAST(event_id % 7 AS INT) + 1] AS description FROM events"""
+)
+def image_partitions(spark, d):
+    return images.partitions(_images(spark, d))
+
+
+@query("SELECT CASE event_id % 7 WHEN 1 THEN 'encrypted volume' ELSE 'no partition table' END AS reason, count(*) AS n FROM events WHERE event_id % 7 IN (1, 6) GROUP BY 1")
+def image_skip_reasons(spark, d):
+    return images.skip_reasons(images.partitions(_images(spark, d)))
+
+
+@query("SELECT 'd' || event_id || '/a.vmdk' AS path, 20480 AS size, 'E' || event_id AS near, 'U' || user_id AS far FROM events WHERE event_id % 20 = 0")
+def image_virtual_disks(spark, d):
+    """Sparse, streamed and flat disks, and a descriptor over extents of each type; one event of twenty makes one."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for n, u in zip(frame["n"], frame["u"], strict=True):
+                disk = bytearray(20480)
+                disk[4096 : 4096 + len(f"E{n}")], disk[16896 : 16896 + len(f"U{u}")] = f"E{n}".encode(), f"U{u}".encode()
+                disk, kind = bytes(disk), n // 20 % 4
+                if kind == 3:
+                    text = '# Disk DescriptorFile\nRW 8 ZERO\nRW 16 SPARSE "b.vmdk"\nRW 16 FLAT "c-flat.vmdk" 1\n'
+                    rows += [(f"d{n}/a.vmdk", text.encode()), (f"d{n}/b.vmdk", images.write_sparse(disk[4096:12288])), (f"d{n}/c-flat.vmdk", bytes(512) + disk[12288:])]
+                else:
+                    rows.append((f"d{n}/a.vmdk", disk if kind == 0 else images.write_sparse(disk, compressed=kind == 2)))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    made = ev(spark, d).where(N % 20 == 0).select(N.alias("n"), U.alias("u")).mapInPandas(run, "path string, content binary")
+    piece = lambda at: F.regexp_extract(F.decode(F.substring("content", at + 1, 40), "ISO-8859-1"), "^([A-Z0-9]*)", 1)
+    return images.virtual_disks(made).select("path", F.length("content").alias("size"), piece(4096).alias("near"), piece(16896).alias("far"))
+
+
+@query(
+    """SELECT event_id AS ordinal, ['velociraptor', 'velociraptor', 'kape', 'cortex', '', 'velociraptor'][CAST(event_id % 6 AS INT) + 1] AS kind,
+      CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'PC-h' || user_id WHEN 2 THEN 'PC' || user_id WHEN 3 THEN 'PC_' || user_id ELSE '' END AS host, CASE WHEN event_id % 6 = 4 THEN '[ARCHIVE]' ELSE '[TRIAGE]' END AS label FROM events"""
+)
+def source_triage_join(spark, d):
+    """Event logs inside archives with the kind, host and label of the outermost one."""
+    archive = pick(N, [text("/e/C_20240101-101010_u", U, ".zip"), text("/e/Collection-PC-h", U, "-2024-01-01T00_00.zip"), text("/e/PC", U, "_20240101.zip"), text("/e/offline_collector_output_PC_", U, "_2024-01-01_10-10-10.zip"), text("/e/x", U, ".zip"), text("/e/Velociraptor/x", U, ".zip")])
+    rows = ev(spark, d).select(N.alias("ordinal"), F.concat(archive, F.lit(" -> in.zip -> a.evtx")).alias("path"), archive.alias("archive"))
+    kinds = rows.select("archive", F.when(N_ORDINAL % 6 == 2, "kape").when(N_ORDINAL % 6 == 3, "cortex").when(N_ORDINAL % 6 == 1, "velociraptor").otherwise("").alias("kind")).distinct()
+    return files.with_triage(rows.select("ordinal", "path"), kinds).select("ordinal", "kind", F.coalesce("host", F.lit("")).alias("host"), "label")
+
+
+N_ORDINAL = F.col("ordinal")
+
+
+@query(f"WITH {fixture.SQL} SELECT count(DISTINCT ordinal % 3) AS files, count(*) AS rows, min(time_created) AS first, max(time_created) AS last, 0 AS rejected FROM tl")
+def parse_summary(spark, d):
+    return files.parse_summary(fixture.timeline(spark, d).withColumn("log_filename", text("f", F.col("ordinal") % 3)))
+
+
+@query("SELECT event_id AS ordinal, CASE WHEN event_id % 2 = 0 THEN 'disk.E01/vss_1/Security.evtx' ELSE '/logs/a.evtx' END AS log_filename FROM events")
+def image_log_filename(spark, d):
+    path = F.when(N % 2 == 0, "C:\\tmp\\extracted\\disk.E01\\vss_1\\Security.evtx").otherwise("/logs/a.evtx")
+    return ev(spark, d).select(N.alias("ordinal"), images.image_filename(path, "extracted").alias("log_filename"))

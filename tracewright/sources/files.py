@@ -75,6 +75,47 @@ def triage_kind(entries: DataFrame) -> DataFrame:
     return flags.select("archive", F.when(F.col("velociraptor"), "velociraptor").when(F.col("kape"), "kape").when(F.col("cortex"), "cortex").when(F.col("logs"), "archive").otherwise("").alias("kind"))
 
 
+def collector_kind(path: Column) -> Column:
+    """The collector that a path alone tells of, else empty: X_YYYYMMDD-HHMMSS_user (with Extracted_ before it or not), or a folder named Velociraptor."""
+    stem = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    named = stem.rlike(r"^(?:Extracted_)?[A-Za-z]_[0-9]{8}-[0-9]{6}_.")
+    return F.when(named | F.contains(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), F.lit("/velociraptor/")), "velociraptor").otherwise("")
+
+
+def triage_hostname(path: Column, kind: Column) -> Column:
+    """The host in the name of a collector's archive, else null; each kind has its own form of name."""
+    stem = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    forms = {"cortex": r"^offline_collector_output_(.*?)_[0-9]{4}-", "velociraptor": "^Collection-(.*?)-[0-9]", "kape": "^([^_]+)_[0-9]{4}"}
+    out = F.lit(None).cast("string")
+    for name, form in forms.items():
+        out = F.when((kind == name) & stem.rlike(form), F.regexp_extract(stem, form, 1)).otherwise(out)
+    return out
+
+
+def with_triage(paths: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Paths (``path``) with the kind and host of their outermost archive and the label that a report shows.
+
+    ``kinds``: (archive, kind), as ``triage_kind`` gives them by archive path.
+    """
+    outer = F.element_at(F.split("path", " -> "), 1)
+    known = kinds.select(F.col("archive").alias("__archive"), F.col("kind").alias("__kind"))
+    joined = paths.withColumn("__outer", outer).join(known, F.col("__outer") == F.col("__archive"), "left")
+    kind = F.coalesce(F.nullif("__kind", F.lit("")), collector_kind(F.col("__outer")))
+    rows = joined.withColumn("kind", kind).withColumn("host", triage_hostname(F.col("__outer"), F.col("kind")))
+    return rows.withColumn("label", source_label(F.col("path"), F.col("kind"))).drop("__outer", "__archive", "__kind")
+
+
+def parse_summary(rows: DataFrame, rejected: int = 0) -> DataFrame:
+    """files, rows, first, last, rejected: one row about a parsed timeline; times compared as text."""
+    return rows.agg(F.count_distinct("log_filename").alias("files"), F.count(F.lit(1)).alias("rows"), F.min("time_created").alias("first"), F.max("time_created").alias("last"), F.lit(rejected).alias("rejected"))
+
+
+def clean_path(text: str) -> str:
+    """A path as typed: without quotes around it, white space and a separator at its end."""
+    path = text.strip().strip("\"'").strip()
+    return path.rstrip("/\\") or path
+
+
 def source_label(path: Column, kind: Column) -> Column:
     image = F.lower(path).rlike(r"\.(e01|vmdk|dd|raw|img|001)\b")
     return F.when(image, "[IMAGE]").when(kind != "", "[TRIAGE]").when(path.contains(" -> ") | F.lower(path).endswith(".zip"), "[ARCHIVE]").otherwise("[FOLDER]")

@@ -39,3 +39,27 @@ def test_fit_is_bounded_and_neutral_without_rows(spark):
     assert len(ordinal.train_rows(df, "doc_id", "text", F.col("grade"), 25)) == 25
     model = ordinal.fit(df.limit(0), F.col("grade"), 3)
     assert not model.weights.any()
+
+
+def test_scores_equal_brute_force_and_the_fit_descends(spark):
+    import math
+
+    schema = "doc_id long, text string, grade int, selected string"
+    rows = made(300, 7)
+    train = spark.createDataFrame(rows, schema)
+    model = ordinal.fit(train, F.col("grade"), 3)
+    got = {r.doc_id: r for r in ordinal.score(train, model, tail=2).collect()}
+    loss = start = 0.0
+    for k, text, g, _ in rows:
+        words = {w.strip(ordinal.STRIP).lower() for w in text.split()}
+        idx, values = ordinal.features(text, {})
+        assert {ordinal._hash(w) for w in words} | {ordinal._hash("^" + w[:5]) for w in words} == {int(i) for i, v in zip(idx, values, strict=True) if v == 0.5}
+        s = sum(float(model.weights[i]) * float(v) for i, v in zip(idx, values, strict=True))
+        tails = [1 / (1 + math.exp(-(s - th))) for th in model.thresholds]
+        assert abs(got[k].expected_grade - sum(tails)) < 1e-4 and abs(got[k].tail_probability - tails[1]) < 1e-4
+        if abs(tails[1] - 0.5) > 1e-3:
+            assert got[k].selected == (tails[1] >= 0.5)
+        p = [1.0, *tails, 0.0]
+        q = [1.0, 1 / (1 + math.exp(-0.5)), 1 / (1 + math.exp(0.5)), 0.0]  # no weights, the first thresholds
+        loss, start = loss - math.log(max(p[g] - p[g + 1], 1e-9)), start - math.log(q[g] - q[g + 1])
+    assert loss < 0.3 * start

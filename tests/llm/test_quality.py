@@ -63,3 +63,58 @@ def test_distance():
     assert quality.js_distance(np.array([1, 0]), np.array([0, 5])) == pytest.approx(1)
     assert quality.js_distance(np.array([2, 2]), np.array([5, 5])) == pytest.approx(0)
     assert quality.js_distance(np.array([0, 0]), np.array([5, 5])) == 0
+
+
+def plain_verdicts(rows):
+    """kept of (text, lang) rows, with counters and sums written out."""
+    import math
+    from collections import Counter
+
+    strip = quality.STRIP
+    passing = [(t, lang) for t, lang in rows if not brute(t)[-1]]
+    classes = lambda t: Counter(int(quality.TABLE[ord(c)]) if ord(c) < len(quality.TABLE) else 8 for c in t)
+
+    def common(t, lang):
+        known = quality.COMMON[lang].split()
+        return Counter(known.index(w) if (w := x.strip(strip).lower()) in known else -1 for x in WORD.findall(t))
+
+    refs = {}
+    for t, lang in passing:
+        if lang in quality.COMMON:
+            a, b = refs.setdefault(lang, (Counter(), Counter()))
+            a.update(classes(t))
+            b.update(common(t, lang))
+
+    def distance(p, q):
+        n, m = sum(p.values()), sum(q.values())
+        if not n or not m:
+            return 0.0
+        total = 0.0
+        for k in set(p) | set(q):
+            x, y = p[k] / n, q[k] / m
+            total += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v)
+        return math.sqrt(max(total / 2, 0))
+
+    out = []
+    for t, lang in rows:
+        if brute(t)[-1]:
+            out.append(False)
+            continue
+        n, words, judged = len(t), len(WORD.findall(t)), []
+        for one in [lang] if lang in refs else list(refs):
+            a = distance(classes(t), refs[one][0]) if n >= 100 else 0.0
+            b = distance(common(t, one), refs[one][1]) if words >= 30 else 0.0
+            judged.append((a + b, a <= 0.25 + 1.5 / math.sqrt(n) and b <= 0.27 + 0.6 / math.sqrt(words)))
+        out.append(min(judged, key=lambda x: x[0])[1] if judged else True)
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    import duckdb
+
+    some = duckdb.connect().execute("select text, lang from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    rows = [*some, *((t, ("en", None, "xx")[k % 3]) for k, t in enumerate(corpus()))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
+    want = plain_verdicts(rows)
+    assert [got[k] for k in range(len(rows))] == want and True in want and False in want

@@ -89,3 +89,23 @@ def test_virtual_disks():
 
 def test_clean_path():
     assert [files.clean_path(x) for x in (' "C:\\a b\\" ', "'/x/'", "/", "a")] == ["C:\\a b", "/x", "/", "a"]
+
+
+def test_hives():
+    from tracewright.sources import hive
+
+    for found in ([], [("##a#b", 5)], [("##é#ü", 1 << 60), ("C", 2)], [(f"k{k}", k) for k in range(50)]):
+        assert list(hive.Hive(hive.write(found)).below(hive.MOUNT_POINTS)) == found
+    assert list(hive.Hive(hive.write([("x", 1)], ("Software",))).below(hive.MOUNT_POINTS)) == []
+    with pytest.raises(ValueError):
+        hive.Hive(b"none")
+
+
+def test_discovery(spark, tmp_path):
+    names = ["a/Current.mdb", "b/Sum/x.mdb", "c/1/2/3/4/SystemIdentity.mdb", "c/1/2/3/4/5/Current.mdb", "a/other.mdb", "var/log/auth.log.1", "var/log/wtmp", "x/system.journal", "notes.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    strip = lambda df: sorted(r.path.split(str(tmp_path))[1][1:] for r in df.collect())
+    assert strip(files.access_logging_files(spark, str(tmp_path))) == names[:3]
+    assert strip(files.discover(spark, str(tmp_path), files.LINUX_NAMES)) == sorted(names[5:8])

@@ -17,7 +17,7 @@ from tracewright.functions.scalars import vss_index
 from tracewright.functions.times import vendor_time
 from tracewright.operators import filters, timeline
 from tracewright.operators.order import numbered, shared_dir
-from tracewright.sources import custom_rules, edr, evtx, files, images, linux, ual, windows
+from tracewright.sources import custom_rules, edr, evtx, files, hive, images, linux, ual, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,7 @@ def quoted(values: list[str]) -> list[str]:
 
 
 N, U = F.col("event_id"), F.col("user_id")
+N_ORDINAL = F.col("ordinal")
 
 
 # -- Windows event records -------------------------------------------------------------------------
@@ -602,9 +603,6 @@ def source_triage_join(spark, d):
     return files.with_triage(rows.select("ordinal", "path"), kinds).select("ordinal", "kind", F.coalesce("host", F.lit("")).alias("host"), "label")
 
 
-N_ORDINAL = F.col("ordinal")
-
-
 @query(f"WITH {fixture.SQL} SELECT count(DISTINCT ordinal % 3) AS files, count(*) AS rows, min(time_created) AS first, max(time_created) AS last, 0 AS rejected FROM tl")
 def parse_summary(spark, d):
     return files.parse_summary(fixture.timeline(spark, d).withColumn("log_filename", text("f", F.col("ordinal") % 3)))
@@ -614,3 +612,54 @@ def parse_summary(spark, d):
 def image_log_filename(spark, d):
     path = F.when(N % 2 == 0, "C:\\tmp\\extracted\\disk.E01\\vss_1\\Security.evtx").otherwise("/logs/a.evtx")
     return ev(spark, d).select(N.alias("ordinal"), images.image_filename(path, "extracted").alias("log_filename"))
+
+
+# -- discovery, archives, hives --------------------------------------------------------------------
+@query(
+    timeline_sql(
+        "events WHERE event_id % 3 = 0", time_created=_STAMP, dst_computer="'FS' || event_id", event_type="'CONNECT'", event_id="'MountPoints2'", target_user_name="'u' || user_id % 50", src_computer="'PC'",
+        detail="'\\\\FS' || event_id || '\\share'", log_filename="'NTUSER.DAT'",
+    )
+)
+def source_hives(spark, d):
+    """One hive a user, with keys that are no shares between."""
+    ticks = (F.unix_timestamp(F.col("ts").cast("timestamp")) + 11_644_473_600) * 10_000_000
+    rows = ev(spark, d).select((U % 50).alias("user"), F.when(N % 3 == 1, "C").when(N % 3 == 2, "##é#x").otherwise(text("##FS", N, "#share")).alias("key"), F.when(N % 3 == 2, 0).otherwise(ticks).alias("ticks"))
+
+    def run(key, frame):
+        return pd.DataFrame({"path": [f"file:/Users/u{key[0]}/NTUSER.DAT"], "content": [hive.write(list(zip(frame["key"], frame["ticks"], strict=True)))]})
+
+    made = rows.groupBy("user").applyInPandas(run, "path string, content binary")
+    return files.mount_points(hive.keys(made), "PC")
+
+
+@query("SELECT 'a' || user_id % 50 || '.zip -> in.zip -> var/log/auth.log' AS path, count(*) AS lines FROM events GROUP BY 1 UNION ALL SELECT DISTINCT 'a' || user_id % 50 || '.zip -> secure', 1 FROM events")
+def source_archives(spark, d):
+    """Members of archives inside archives, beside others that are not wanted and a file that is no archive."""
+
+    def run(key, frame):
+        import io
+        import zipfile
+
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            z.writestr("var/log/auth.log", "\n".join(map(str, frame["n"])))
+            z.writestr("var/log/other.txt", "x")
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("in.zip", inner.getvalue())
+            z.writestr("secure", "y")
+            z.writestr("bad.zip", b"none")
+        return pd.DataFrame({"path": [f"a{key[0]}.zip", "no.zip"], "content": [outer.getvalue(), b"no"]})
+
+    made = ev(spark, d).select((U % 50).alias("user"), N.alias("n")).groupBy("user").applyInPandas(run, "path string, content binary")
+    return files.expand_archives(made, files.LINUX_NAMES).select("path", F.size(F.split(F.decode("content", "UTF-8"), "\n")).cast("long").alias("lines"))
+
+
+@query("SELECT DISTINCT 'h' || user_id % 5 || '/' || ['auth.log', 'wtmp', 'secure-1'][CAST(event_id % 4 AS INT) + 1] AS path FROM events WHERE event_id % 4 < 3")
+def source_discover(spark, d):
+    """Names of evidence files below a folder, each once, other files left out.  Spark names its files itself, so folders carry the names."""
+    names = ev(spark, d).select(F.lit("x").alias("value"), text("h", U % 5, "/", pick(N, ["auth.log", "wtmp", "secure-1", "readme.md"])).alias("name")).distinct()
+    root = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    names.write.partitionBy("name").text(root)
+    found = files.discover(spark, root, "[.]txt$").select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("path")).distinct()
+    return found.where(F.col("path").rlike(files.LINUX_NAMES))

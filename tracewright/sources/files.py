@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from tracewright.schema import LEGACY, TIMELINE, TIMELINE_SCHEMA, as_timeline, l
 
 # Names of evidence files, system accounts.
 LINUX_NAMES = r"(?:^|/)(?:(?:utmp|wtmp|btmp|lastlog)$|(?:secure|messages|audit\.log|auth\.log)[^/]*$|[^/]*\.journal~?$)"
+ACCESS_LOGGING_DEPTH, ACCESS_LOGGING = 5, r"(?i)/(?:Current|SystemIdentity|\{[^/]*\})\.mdb$|(?i)/Sum/[^/]*\.mdb$"
 SYSTEM_ACCOUNTS = ("system", "local service", "network service", "nt authority\\system", "s-1-5-18", "s-1-5-19", "s-1-5-20")
 
 
@@ -26,6 +28,14 @@ def discover(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path").where(F.col("path").rlike(pattern)).distinct()
 
 
+def access_logging_files(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct paths of access-logging databases at most ACCESS_LOGGING_DEPTH folders below a folder."""
+    root = path.rstrip("/").rsplit(":", 1)[-1].lstrip("/")
+    found = discover(spark, path, ACCESS_LOGGING)
+    below = F.regexp_extract("path", re.escape(root) + "/(.*)$", 1)
+    return found.where(F.size(F.split(below, "/")) <= ACCESS_LOGGING_DEPTH + 1)
+
+
 def expand_archives(files: DataFrame, wanted: str, passwords: tuple[bytes, ...] = ()) -> DataFrame:
     """(path, content) of the wanted members of archives, nested ones too; the path is the chain of
     names joined with ' -> '.  Members that cannot be opened are left out."""
@@ -50,8 +60,6 @@ def expand_archives(files: DataFrame, wanted: str, passwords: tuple[bytes, ...]
                     yield name, content
                 break
 
-    import re
-
     pattern = re.compile(wanted)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,7 @@ from tracewright.functions.times import vendor_time
 from tracewright.operators import filters, timeline
 from tracewright.operators.order import numbered, shared_dir
 from tracewright.sources import custom_rules, edr, evtx, files, hive, images, linux, ual, windows
+from tracewright.streaming import timelines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -663,3 +664,48 @@ def source_discover(spark, d):
     names.write.partitionBy("name").text(root)
     found = files.discover(spark, root, "[.]txt$").select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("path")).distinct()
     return found.where(F.col("path").rlike(files.LINUX_NAMES))
+
+
+# -- streams ---------------------------------------------------------------------------------------
+def _stream(spark, d) -> DataFrame:
+    """``events`` as a stream of edges (origin, destination, rel_type, time)."""
+    made = spark.readStream.schema(ev(spark, d).schema).parquet(f"{d}/events.parque[t]")  # a pattern: a stream takes no single file
+    return made.select(text("H", U % 20).alias("origin"), text("H", N % 20).alias("destination"), F.upper("event_type").alias("rel_type"), F.col("ts").cast("timestamp").alias("time")).withWatermark("time", "10 minutes")
+
+
+def _run(stream: DataFrame, complete: bool = False) -> DataFrame:
+    """All that a stream gives for what there is now, through a table in the shared folder."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
+    if complete:
+        out = out.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/out"))
+    else:
+        out = out.outputMode("append").format("parquet").option("path", f"{root}/out")
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, 'H' || user_id % 20 AS origin, CAST(count(DISTINCT event_type) AS INT) AS n FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) >= 3")
+def stream_rotation(spark, d):
+    got = _run(timelines.rotation(_stream(spark, d)), complete=True)
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "origin", "n")
+
+
+_STREAMED = "(SELECT 'H' || user_id % 20 AS o, 'H' || event_id % 20 AS d, upper(event_type) AS u, ts FROM events)"
+
+
+@query(f"SELECT x.o AS a, x.d AS b, y.d AS c, x.u AS u1, y.u AS u2, x.ts AS t1, y.ts AS t2 FROM {_STREAMED} x JOIN {_STREAMED} y ON x.d = y.o AND y.ts > x.ts AND y.ts <= x.ts + INTERVAL 300 SECOND WHERE x.u <> y.u AND x.o <> y.d")
+def stream_chains(spark, d):
+    got = _run(timelines.chains(_stream(spark, d), _stream(spark, d)))
+    return got.select("a", "b", "c", "u1", "u2", F.col("t1").cast("timestamp_ntz").alias("t1"), F.col("t2").cast("timestamp_ntz").alias("t2"))
+
+
+@query(f"WITH {fixture.SQL} SELECT dst_computer, ts AS event_time FROM tl WHERE NOT (lower(target_user_name) LIKE 'error!_%' ESCAPE '!')")
+def stream_filtered(spark, d):
+    """The timeline's rows as a stream through the filters, with their event time."""
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    fixture.timeline(spark, d).select(*schema.TIMELINE).write.parquet(path)
+    rows = spark.readStream.schema(schema.TIMELINE_SCHEMA).parquet(path)
+    got = _run(timelines.timed(rows, config=filters.FilterConfig(users=["error_*"])))
+    return got.select("dst_computer", F.col("event_time").cast("timestamp_ntz").alias("event_time"))

@@ -61,8 +61,12 @@ def quoted(values: list[str]) -> list[str]:
     return ["'" + v + "'" for v in values]
 
 
-N, U = F.col("event_id"), F.col("user_id")
-N_ORDINAL = F.col("ordinal")
+def event_no() -> Column:
+    return F.col("event_id")
+
+
+def user_no() -> Column:
+    return F.col("user_id")
 
 
 # -- Windows event records -------------------------------------------------------------------------
@@ -76,12 +80,16 @@ def event_xml(provider: Column, number: Column, data: list[tuple[str, Column]],
 
 IDS = ["4624", "4625", "4634", "4647", "4648", "4768", "4769", "4770", "4771", "4776", "4778", "4779", "5140", "1102"]
 STATUS = ["0x0", "0x6", "0xC0000234"]
-_SECURITY_DATA = [
-    ("TargetUserName", text("a&amp;b", U)), ("TargetDomainName", F.lit("CORP")), ("SubjectUserName", text("s", U % 7)), ("SubjectDomainName", F.lit("DOM")),
-    ("LogonType", F.when(N % 2 == 0, "10").otherwise("")), ("WorkstationName", text("WS", U % 50)), ("IpAddress", pick(N, [text("::ffff:10.0.0.", U % 200), text("fe80::", U), text("10.1.0.", U % 200)])),
-    ("Status", pick(N, STATUS)), ("SubStatus", F.lit("0xC000006A")), ("ProcessName", F.lit("C:\\p.exe")), ("TargetLogonId", text("0x", N)), ("ShareName", F.lit("\\\\*\\C$")),
-    ("RelativeTargetName", F.when(N % 4 == 0, "x").otherwise("")), ("TargetDomainName", F.lit("LAST")),
-]
+
+def _security_data() -> list[tuple[str, Column]]:
+    return [
+        ("TargetUserName", text("a&amp;b", user_no())), ("TargetDomainName", F.lit("CORP")), ("SubjectUserName", text("s", user_no() % 7)), ("SubjectDomainName", F.lit("DOM")),
+        ("LogonType", F.when(event_no() % 2 == 0, "10").otherwise("")), ("WorkstationName", text("WS", user_no() % 50)), ("IpAddress", pick(event_no(), [text("::ffff:10.0.0.", user_no() % 200), text("fe80::", user_no()), text("10.1.0.", user_no() % 200)])),
+        ("Status", pick(event_no(), STATUS)), ("SubStatus", F.lit("0xC000006A")), ("ProcessName", F.lit("C:\\p.exe")), ("TargetLogonId", text("0x", event_no())), ("ShareName", F.lit("\\\\*\\C$")),
+        ("RelativeTargetName", F.when(event_no() % 4 == 0, "x").otherwise("")), ("TargetDomainName", F.lit("LAST")),
+    ]
+
+
 _ID = pick_sql("event_id", quoted(IDS))
 _SECURITY = timeline_sql(
     f"(SELECT *, {_ID} AS id, {pick_sql('event_id', quoted(STATUS))} AS status FROM events) WHERE id <> '1102' AND event_id % 17 <> 0",
@@ -109,26 +117,26 @@ def _time() -> Column:
 
 @query(_SECURITY)
 def source_security_xml(spark, d):
-    provider = F.when(N % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
-    xml = event_xml(provider, pick(N, IDS), _SECURITY_DATA, F.lit(""), text("SRV", U % 9, ".corp"), _time())
+    provider = F.when(event_no() % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
+    xml = event_xml(provider, pick(event_no(), IDS), _security_data(), F.lit(""), text("SRV", user_no() % 9, ".corp"), _time())
     return windows.to_timeline(windows.from_xml(ev(spark, d).select(xml.alias("xml"))), "Security.evtx")
 
 
 @query(_SECURITY)
 def source_winlogbeat(spark, d):
     """The same records as NDJSON, between lines that are no events."""
-    data = F.struct(*[F.when(v != "", v).alias(k) if k == "LogonType" else F.regexp_replace(v, "&amp;", "&").alias(k) for k, v in dict(_SECURITY_DATA).items()])
-    provider = F.when(N % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
-    winlog = F.struct(provider.alias("provider_name"), pick(N, IDS).cast("int").alias("event_id"), data.alias("event_data"))
-    line = F.to_json(F.struct(_time().alias("@timestamp"), F.struct(text("SRV", U % 9, ".corp").alias("name")).alias("host"), F.struct(F.lit("winlogbeat").alias("type")).alias("agent"), F.struct(F.lit("x").alias("kind")).alias("event"), winlog.alias("winlog")))
-    odd = F.when(N % 5 == 0, F.regexp_replace(line, '"event_id":[0-9]+', '"event_id":"none"')).when(N % 5 == 1, "no json").otherwise("{}")
+    data = F.struct(*[F.when(v != "", v).alias(k) if k == "LogonType" else F.regexp_replace(v, "&amp;", "&").alias(k) for k, v in dict(_security_data()).items()])
+    provider = F.when(event_no() % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
+    winlog = F.struct(provider.alias("provider_name"), pick(event_no(), IDS).cast("int").alias("event_id"), data.alias("event_data"))
+    line = F.to_json(F.struct(_time().alias("@timestamp"), F.struct(text("SRV", user_no() % 9, ".corp").alias("name")).alias("host"), F.struct(F.lit("winlogbeat").alias("type")).alias("agent"), F.struct(F.lit("x").alias("kind")).alias("event"), winlog.alias("winlog")))
+    odd = F.when(event_no() % 5 == 0, F.regexp_replace(line, '"event_id":[0-9]+', '"event_id":"none"')).when(event_no() % 5 == 1, "no json").otherwise("{}")
     lines = ev(spark, d).select(F.explode(F.array(line, odd)).alias("value"))
     return windows.to_timeline(windows.from_winlogbeat(lines), "Security.evtx")
 
 
 @query("SELECT count(*) > 0 AS winlogbeat FROM events")
 def source_winlogbeat_sniff(spark, d):
-    line = F.to_json(F.struct(_time().alias("@timestamp"), F.struct(F.lit("winlogbeat").alias("type")).alias("agent"), F.struct(N.alias("n")).alias("event"), F.struct(N.alias("event_id")).alias("winlog")))
+    line = F.to_json(F.struct(_time().alias("@timestamp"), F.struct(F.lit("winlogbeat").alias("type")).alias("agent"), F.struct(event_no().alias("n")).alias("event"), F.struct(event_no().alias("event_id")).alias("winlog")))
     return windows.is_winlogbeat(ev(spark, d).select(F.explode(F.array(F.lit("no json"), line)).alias("value"))).agg((F.count(F.lit(1)) > 0).alias("winlogbeat"))
 
 
@@ -154,19 +162,19 @@ _CHANNELS = timeline_sql(
 @query(_CHANNELS)
 def source_channels_xml(spark, d):
     """One record of each other channel in turn, local WinRM and WMI ones among them, and one of an unknown provider."""
-    even, user, address, c = (N / 10).cast("long") % 2 == 0, text("u", U), text("10.2.0.", U % 200), N % 10
+    even, user, address, c = (event_no() / 10).cast("long") % 2 == 0, text("u", user_no()), text("10.2.0.", user_no() % 200), event_no() % 10
     two = lambda a, b: F.when(even, a).otherwise(b)
     providers = ["SMBServer", "SMBClient", "TerminalServices-ClientActiveXCore", "TerminalServices-RemoteConnectionManager", "TerminalServices-LocalSessionManager", "RemoteDesktopServices-RdpCoreTS", "WinRM", "WMI-Activity", "SMBServer", "Nothing"]
     numbers = [F.lit("551"), two("31001", "30803"), two("1024", "1102"), F.lit("1149"), two("21", "24"), F.lit("131"), F.lit("6"), F.lit("5858"), F.lit("1009"), F.lit("1")]
     data = [
-        ("UserName", F.when(c == 1, user).otherwise("")), ("ServerName", text("FS", U)), ("ShareName", F.when(c == 1, "\\\\FS\\s").otherwise("")), ("Value", text("T", U)),
-        ("ClientIP", text(address, ":50000")), ("connection", two(text("http://R", U, ".corp:5985/wsman"), F.when(U % 2 == 0, "localhost/wsman").otherwise("http://srv:5985/wsman"))),
+        ("UserName", F.when(c == 1, user).otherwise("")), ("ServerName", text("FS", user_no())), ("ShareName", F.when(c == 1, "\\\\FS\\s").otherwise("")), ("Value", text("T", user_no())),
+        ("ClientIP", text(address, ":50000")), ("connection", two(text("http://R", user_no(), ".corp:5985/wsman"), F.when(user_no() % 2 == 0, "localhost/wsman").otherwise("http://srv:5985/wsman"))),
     ]
-    smb = text("<EventData><ClientName>CL", U, "</ClientName><UserName>", user, "</UserName><ShareName>\\\\FS\\s</ShareName></EventData>")
+    smb = text("<EventData><ClientName>CL", user_no(), "</ClientName><UserName>", user, "</UserName><ShareName>\\\\FS\\s</ShareName></EventData>")
     manager = text("<EventXML><Param1>", user, "</Param1><Param2>CORP</Param2><Param3>", address, "</Param3></EventXML>")
     session = text("<EventXML><User>CORP\\", user, "</User><Address>", address, "</Address></EventXML>")
-    client = F.when(U % 5 == 0, "srv").otherwise(text("OTHER", U))
-    account = F.when(U % 5 == 1, "NT AUTHORITY\\SYSTEM").otherwise(text("CORP\\", user))
+    client = F.when(user_no() % 5 == 0, "srv").otherwise(text("OTHER", user_no()))
+    account = F.when(user_no() % 5 == 1, "NT AUTHORITY\\SYSTEM").otherwise(text("CORP\\", user))
     wmi = text("<Operation_ClientFailure><ClientMachine>", client, "</ClientMachine><User>", account, "</User><Operation>Exec</Operation></Operation_ClientFailure>")
     none = F.lit("")
     xml = event_xml(F.concat(F.lit(windows.P), pick(c, providers)), pick(c, numbers), data, pick(c, [smb, none, none, manager, session, none, none, wmi, smb, none]), F.lit("SRV.corp"), _time())
@@ -190,10 +198,10 @@ _SYSLOG = timeline_sql(
 @query(_SYSLOG)
 def source_syslog(spark, d):
     """Both line formats, every message kind, and each time a line whose remote is no address."""
-    ip, host, user, c = text("10.3.0.", U % 200), text("web", U % 3), text("u", U), N % 7
+    ip, host, user, c = text("10.3.0.", user_no() % 200), text("web", user_no() % 3), text("u", user_no()), event_no() % 7
     head = F.concat(F.date_format("ts", "MMM "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.date_format("ts", " HH:mm:ss "), host, F.lit(" sshd[1]: "))
     kinds = [
-        text(head, "Accepted publickey for ", user, " from ", ip, " port 22 ssh2"), text(head, "Failed password for ", user, " from ", ip, " port 22 ssh2"), text(head, "Accepted password for ", user, " from 2001:db8::", U % 100, " port 22"),
+        text(head, "Accepted publickey for ", user, " from ", ip, " port 22 ssh2"), text(head, "Failed password for ", user, " from ", ip, " port 22 ssh2"), text(head, "Accepted password for ", user, " from 2001:db8::", user_no() % 100, " port 22"),
         text(head, "START: telnet pid=1 from=::ffff:", ip), text("<34>1 ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), " ", host, " sshd 1 - - Accepted password for ", user, " from ", ip, " port 22"),
         text(head, "pam_unix(sshd:auth): authentication failure; logname= uid=0 rhost=", ip, "  user=", user), text(head, "Connection closed by ", ip),
     ]
@@ -216,10 +224,10 @@ _AUDIT = timeline_sql(
 
 @query(_AUDIT)
 def source_audit(spark, d):
-    kind = pick(N, ["USER_LOGIN", "USER_AUTH", "SYSCALL", "USER_END"])
-    who = F.when(N % 3 == 0, text('acct="acct', U, '" AUID="x"')).otherwise(text('AUID="au', U, '" UID="root"'))
+    kind = pick(event_no(), ["USER_LOGIN", "USER_AUTH", "SYSCALL", "USER_END"])
+    who = F.when(event_no() % 3 == 0, text('acct="acct', user_no(), '" AUID="x"')).otherwise(text('AUID="au', user_no(), '" UID="root"'))
     secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    line = text("type=", kind, " msg=audit(", secs, ".123:", N, "): pid=1 uid=0 ", who, " addr=", F.when(N % 3 == 2, "?").otherwise(text("10.4.0.", U % 200)), " res=", F.when(U % 2 == 0, "success").otherwise("failed"))
+    line = text("type=", kind, " msg=audit(", secs, ".123:", event_no(), "): pid=1 uid=0 ", who, " addr=", F.when(event_no() % 3 == 2, "?").otherwise(text("10.4.0.", user_no() % 200)), " res=", F.when(user_no() % 2 == 0, "success").otherwise("failed"))
     return linux.audit(ev(spark, d).select(line.alias("line")), hostname="web")
 
 
@@ -251,13 +259,13 @@ def _int(value: Column) -> Column:
 @query(_UTMP)
 def source_login_records(spark, d):
     """Binary records, address as text or as number; records without one count in btmp only."""
-    c = N % 6
+    c = event_no() % 6
     kind = _int(pick(c, ["7", "8", "2", "7", "7", "7"]).cast("long"))
-    host = F.when((c < 3) & (N % 4 == 0), text("10.5.0.", U % 200)).otherwise("")
-    address = F.when((c < 3) & (N % 4 != 0), F.lit(10) + 6 * 256 + (U % 100) * 65536 + 7 * 16777216).otherwise(0)
+    host = F.when((c < 3) & (event_no() % 4 == 0), text("10.5.0.", user_no() % 200)).otherwise("")
+    address = F.when((c < 3) & (event_no() % 4 != 0), F.lit(10) + 6 * 256 + (user_no() % 100) * 65536 + 7 * 16777216).otherwise(0)
     zero = _int(F.lit(0))
-    record = F.concat(kind, zero, _field(F.lit("pts/0"), 32), zero, _field(text("u", U), 32), _field(host, 256), zero, zero, _int(F.unix_timestamp(F.col("ts").cast("timestamp"))), zero, _int(address), zero, zero, zero, _field(F.lit(""), 20))
-    made = ev(spark, d).select(F.when(U % 2 == 0, "file:/log/btmp").otherwise("file:/log/wtmp").alias("path"), record.alias("content"))
+    record = F.concat(kind, zero, _field(F.lit("pts/0"), 32), zero, _field(text("u", user_no()), 32), _field(host, 256), zero, zero, _int(F.unix_timestamp(F.col("ts").cast("timestamp"))), zero, _int(address), zero, zero, zero, _field(F.lit(""), 20))
+    made = ev(spark, d).select(F.when(user_no() % 2 == 0, "file:/log/btmp").otherwise("file:/log/wtmp").alias("path"), record.alias("content"))
     other = ev(spark, d).select(F.lit("file:/log/wtmp").alias("path"), F.concat(_int(F.lit(9)), F.unhex(F.repeat(F.lit("00"), 380))).alias("content"))
     return linux.utmp(made.unionByName(other), "web")
 
@@ -269,15 +277,15 @@ def source_login_records(spark, d):
     )
 )
 def source_journal(spark, d):
-    message = pick(N, [text("Failed password for u", U, " from 10.7.0.", U % 200, " port 2"), text("Accepted password for u", U, " from 10.7.0.", U % 200, " port 2"), text("Accepted publickey for u", U, " from 10.7.0.", U % 200), F.lit("Server listening")])
+    message = pick(event_no(), [text("Failed password for u", user_no(), " from 10.7.0.", user_no() % 200, " port 2"), text("Accepted password for u", user_no(), " from 10.7.0.", user_no() % 200, " port 2"), text("Accepted publickey for u", user_no(), " from 10.7.0.", user_no() % 200), F.lit("Server listening")])
     micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
-    entry = F.struct(F.when(N % 3 == 0, "sshd").otherwise("x").alias("_COMM"), F.when(N % 3 == 1, "sshd").otherwise("y").alias("SYSLOG_IDENTIFIER"), text("web", U % 3).alias("_HOSTNAME"), micros.alias("__REALTIME_TIMESTAMP"), message.alias("MESSAGE"))
+    entry = F.struct(F.when(event_no() % 3 == 0, "sshd").otherwise("x").alias("_COMM"), F.when(event_no() % 3 == 1, "sshd").otherwise("y").alias("SYSLOG_IDENTIFIER"), text("web", user_no() % 3).alias("_HOSTNAME"), micros.alias("__REALTIME_TIMESTAMP"), message.alias("MESSAGE"))
     return linux.journal(ev(spark, d).select(F.to_json(entry).alias("value")))
 
 
 @query("SELECT user_id % 50 AS root, 2000 + min(event_id % 9 * 10) AS year, 'h' || min(event_id % 9) AS hostname FROM events WHERE event_id % 9 > 1 GROUP BY 1")
 def source_year_and_hostname(spark, d):
-    rows = ev(spark, d).select((U % 50).alias("root"), (N % 9).alias("priority"), F.when(N % 9 > 1, 2000 + N % 9 * 10).alias("year"), F.when(N % 9 > 1, text("h", N % 9)).otherwise("").alias("hostname"))
+    rows = ev(spark, d).select((user_no() % 50).alias("root"), (event_no() % 9).alias("priority"), F.when(event_no() % 9 > 1, 2000 + event_no() % 9 * 10).alias("year"), F.when(event_no() % 9 > 1, text("h", event_no() % 9)).otherwise("").alias("hostname"))
     return linux.infer_year(rows).join(linux.infer_hostname(rows), "root")
 
 
@@ -290,12 +298,12 @@ def source_year_and_hostname(spark, d):
 )
 def source_tasks(spark, d):
     """UTF-16 and UTF-8 files; local, system and undated ones are left out."""
-    c, when = N % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    c, when = event_no() % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     date = pick(c, [when, text(when, "+02:00"), text(when, "Z"), when, when, F.lit("")])
-    author = pick(c, [text("PC", U, "\\eve"), text("PC", U, "\\eve"), text("PC", U, "\\eve"), F.lit("srv\\eve"), F.lit("NT AUTHORITY\\SYSTEM"), text("PC", U, "\\eve")])
-    xml = text('<?xml version="1.0"?><Task><RegistrationInfo><Date>', date, "</Date><Author>", author, "</Author><URI>\\t", N, "</URI></RegistrationInfo><Command> cmd.exe </Command><UserId>run", U, "</UserId></Task>")
-    content = F.when(N % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(xml, "UTF-16LE"))).otherwise(F.encode(xml, "UTF-8"))
-    return files.tasks(ev(spark, d).select(text("file:/Tasks/task", N).alias("path"), content.alias("content")), "SRV")
+    author = pick(c, [text("PC", user_no(), "\\eve"), text("PC", user_no(), "\\eve"), text("PC", user_no(), "\\eve"), F.lit("srv\\eve"), F.lit("NT AUTHORITY\\SYSTEM"), text("PC", user_no(), "\\eve")])
+    xml = text('<?xml version="1.0"?><Task><RegistrationInfo><Date>', date, "</Date><Author>", author, "</Author><URI>\\t", event_no(), "</URI></RegistrationInfo><Command> cmd.exe </Command><UserId>run", user_no(), "</UserId></Task>")
+    content = F.when(event_no() % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(xml, "UTF-16LE"))).otherwise(F.encode(xml, "UTF-8"))
+    return files.tasks(ev(spark, d).select(text("file:/Tasks/task", event_no()).alias("path"), content.alias("content")), "SRV")
 
 
 @query(
@@ -305,9 +313,9 @@ def source_tasks(spark, d):
     )
 )
 def source_mount_points(spark, d):
-    server = F.when(U % 2 == 0, text("FS", U)).otherwise(text("10.0.0.", U % 200))
+    server = F.when(user_no() % 2 == 0, text("FS", user_no())).otherwise(text("10.0.0.", user_no() % 200))
     ticks = (F.unix_timestamp(F.col("ts").cast("timestamp")) + 11_644_473_600) * 10_000_000
-    rows = ev(spark, d).select(text("u", U).alias("user"), F.when(N % 3 == 1, "C").otherwise(text("##", server, "#share")).alias("key"), F.when(N % 3 == 2, "0").otherwise(ticks.cast("string")).alias("last_write"))
+    rows = ev(spark, d).select(text("u", user_no()).alias("user"), F.when(event_no() % 3 == 1, "C").otherwise(text("##", server, "#share")).alias("key"), F.when(event_no() % 3 == 2, "0").otherwise(ticks.cast("string")).alias("last_write"))
     return files.mount_points(rows, "PC")
 
 
@@ -324,12 +332,12 @@ _ROLES = [("{A}", "File Server", "UAL_FILE_SERVER", "3"), ("{B}", "Remote Access
 )
 def source_access_logging(spark, d):
     """Addresses as hex bytes of both families, roles by guid in any case, rows without a user or a date."""
-    byte = F.lpad(F.hex(U % 100), 2, "0")
-    address = pick(N % 5, [F.concat(F.lit("0A 00 00 "), byte), text("00 " * 15, "01"), F.concat(F.lit("00 " * 10 + "FF FF C0 A8 00 "), byte), byte, byte])
+    byte = F.lpad(F.hex(user_no() % 100), 2, "0")
+    address = pick(event_no() % 5, [F.concat(F.lit("0A 00 00 "), byte), text("00 " * 15, "01"), F.concat(F.lit("00 " * 10 + "FF FF C0 A8 00 "), byte), byte, byte])
     ticks = ((F.unix_timestamp(F.col("ts").cast("timestamp")) + 11_644_473_600) * 10_000_000).cast("string")
     rows = ev(spark, d).select(
-        F.when(N % 5 == 3, "").otherwise(text("CORP\\u", U)).alias("user"), address.alias("address"), F.when(N % 5 == 4, "0").otherwise(F.when(N % 2 == 0, ticks).otherwise("0")).alias("insert_date"),
-        F.when(N % 5 == 4, "0").otherwise(ticks).alias("last_access"), pick(U, ["{a}", "{b}", "{c}", "{d}", "{E}"]).alias("role_guid"),
+        F.when(event_no() % 5 == 3, "").otherwise(text("CORP\\u", user_no())).alias("user"), address.alias("address"), F.when(event_no() % 5 == 4, "0").otherwise(F.when(event_no() % 2 == 0, ticks).otherwise("0")).alias("insert_date"),
+        F.when(event_no() % 5 == 4, "0").otherwise(ticks).alias("last_access"), pick(user_no(), ["{a}", "{b}", "{c}", "{d}", "{E}"]).alias("role_guid"),
     )
     return ual.events(rows, spark.createDataFrame([r[:2] for r in _ROLES], "guid string, name string"), "SRV")
 
@@ -365,9 +373,9 @@ _KINDS = {0: "uploads.json", 1: "x_KAPE.cli", 2: "payload_1.log", 3: "Logs/a.evt
       WHEN count(*) FILTER (WHERE k = 2) >= 2 THEN 'cortex' WHEN count(*) FILTER (WHERE k = 3) >= 5 THEN 'archive' ELSE '' END AS kind FROM (SELECT *, greatest(user_id % 5, event_id % 5) AS k FROM events) GROUP BY 1"""
 )
 def source_triage_kind(spark, d):
-    k = F.greatest(U % 5, N % 5)
+    k = F.greatest(user_no() % 5, event_no() % 5)
     entry = F.element_at(F.array(*[F.lit(v) for v in _KINDS.values()]), (k + 1).cast("int"))
-    return files.triage_kind(ev(spark, d).select(text("a", U % 40, ".zip").alias("archive"), entry.alias("entry")))
+    return files.triage_kind(ev(spark, d).select(text("a", user_no() % 40, ".zip").alias("archive"), entry.alias("entry")))
 
 
 @query(
@@ -375,9 +383,9 @@ def source_triage_kind(spark, d):
       CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS INT) ELSE -1 END AS vss FROM events"""
 )
 def source_labels(spark, d):
-    path = pick(N, ["/e/disk.E01", "/e/h.zip", "/e/h.zip -> a.evtx", "/e/h.ZIP", "/e/logs/a.evtx"])
-    name = F.when(N % 2 == 0, text("Security_vss_", U, ".evtx")).otherwise("Security.evtx")
-    return ev(spark, d).select(N.alias("ordinal"), files.source_label(path, F.when(N % 5 == 1, "kape").otherwise("")).alias("label"), F.coalesce(vss_index(name), F.lit(-1)).alias("vss"))
+    path = pick(event_no(), ["/e/disk.E01", "/e/h.zip", "/e/h.zip -> a.evtx", "/e/h.ZIP", "/e/logs/a.evtx"])
+    name = F.when(event_no() % 2 == 0, text("Security_vss_", user_no(), ".evtx")).otherwise("Security.evtx")
+    return ev(spark, d).select(event_no().alias("ordinal"), files.source_label(path, F.when(event_no() % 5 == 1, "kape").otherwise("")).alias("label"), F.coalesce(vss_index(name), F.lit(-1)).alias("vss"))
 
 
 @query(f"WITH {fixture.SQL} SELECT CASE WHEN ordinal % 2 = 0 THEN 'Security.evtx' ELSE 'System.evtx' END AS source, CASE WHEN ordinal % 3 > 0 THEN CAST(ordinal % 3 AS INT) ELSE -1 END AS vss, count(*) AS n FROM tl GROUP BY 1, 2")
@@ -394,9 +402,9 @@ _FORENSIC_IDS = ["4624", "4625", "4634", "4648", "4776", "9999"]
 
 def _forensics(spark, d) -> DataFrame:
     return ev(spark, d).select(
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string").alias("Timestamp"), F.lit("SRV").alias("dst_host"), pick(N, _FORENSIC_IDS).alias("event_id"), F.lit("s").alias("subject_name"), F.lit("SD").alias("subject_domain"),
-        text("u", U).alias("target_user"), F.lit("CORP").alias("target_domain"), F.lit("3").alias("lt"), F.when(U % 4 == 0, "SRV").otherwise(text("WS", U)).alias("source_host"), text("::ffff:10.8.0.", U % 200).alias("srcip"),
-        F.when(N % 6 == 1, "0xC0000064").otherwise("a,b").alias("process"), F.when(N % 7 == 0, "Application").otherwise("Security").alias("source"), F.when(N % 11 == 0, "-").otherwise("text").alias("message"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string").alias("Timestamp"), F.lit("SRV").alias("dst_host"), pick(event_no(), _FORENSIC_IDS).alias("event_id"), F.lit("s").alias("subject_name"), F.lit("SD").alias("subject_domain"),
+        text("u", user_no()).alias("target_user"), F.lit("CORP").alias("target_domain"), F.lit("3").alias("lt"), F.when(user_no() % 4 == 0, "SRV").otherwise(text("WS", user_no())).alias("source_host"), text("::ffff:10.8.0.", user_no() % 200).alias("srcip"),
+        F.when(event_no() % 6 == 1, "0xC0000064").otherwise("a,b").alias("process"), F.when(event_no() % 7 == 0, "Application").otherwise("Security").alias("source"), F.when(event_no() % 11 == 0, "-").otherwise("text").alias("message"),
     )
 
 
@@ -415,8 +423,8 @@ def edr_forensics(spark, d):
 
 def _network(spark, d) -> DataFrame:
     return ev(spark, d).select(
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string").alias("_time"), text("AG", U % 5).alias("agent_hostname"), pick(U, ["10.0.0.1", "10.0.0.2", "", "::"]).alias("action_local_ip"),
-        pick(N, ["3389", "50000", "22"]).alias("action_local_port"), pick(N, ["10.9.0.1", "127.0.0.1", "10.0.0.1", "fe80::1", "10.9.0.2"]).alias("action_remote_ip"), pick(N, ["50001", "8080", "445", "80"]).alias("action_remote_port"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string").alias("_time"), text("AG", user_no() % 5).alias("agent_hostname"), pick(user_no(), ["10.0.0.1", "10.0.0.2", "", "::"]).alias("action_local_ip"),
+        pick(event_no(), ["3389", "50000", "22"]).alias("action_local_port"), pick(event_no(), ["10.9.0.1", "127.0.0.1", "10.0.0.1", "fe80::1", "10.9.0.2"]).alias("action_remote_ip"), pick(event_no(), ["50001", "8080", "445", "80"]).alias("action_remote_port"),
         F.lit("CORP\\u").alias("actor_primary_username"), F.lit("x").alias("actor_process_command_line"),
     )
 
@@ -439,7 +447,7 @@ def edr_network_filtered(spark, d):
 @query(f"SELECT time_created, row_number() OVER (ORDER BY time_created) AS place FROM (SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || '000Z' AS time_created FROM events WHERE event_id % 50 > 0 UNION ALL SELECT '' FROM events WHERE event_id % 50 = 0)")
 def edr_ordered(spark, d):
     """By time in milliseconds; records without a readable time come first."""
-    rows = ev(spark, d).select(F.when(N % 50 == 0, "").otherwise(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string")).alias("_time"))
+    rows = ev(spark, d).select(F.when(event_no() % 50 == 0, "").otherwise(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string")).alias("_time"))
     return numbered(rows, *edr.ordered(rows)).select(vendor_time(F.col("_time")).alias("time_created"), "place")
 
 
@@ -460,9 +468,9 @@ _RULES = [
 
 
 def _log(spark, d) -> DataFrame:
-    csv = text('fw CSV,"x, user msg: user=""u', U, '"";ip=\'10.0.1.', U % 200, "'\", H", U)
-    line = pick(N, [csv, text("fw user u", U, " at 10.0.2.", U % 200, " logged in"), text("fw user u", U, " somewhere logged on"), text("user u", U, " at 10.0.2.1 logged in"), text("fw user u", U, " logged off")])
-    return ev(spark, d).select(line.alias("line"), N.alias("k"), text("f", N % 3, ".log").alias("file"))
+    csv = text('fw CSV,"x, user msg: user=""u', user_no(), '"";ip=\'10.0.1.', user_no() % 200, "'\", H", user_no())
+    line = pick(event_no(), [csv, text("fw user u", user_no(), " at 10.0.2.", user_no() % 200, " logged in"), text("fw user u", user_no(), " somewhere logged on"), text("user u", user_no(), " at 10.0.2.1 logged in"), text("fw user u", user_no(), " logged off")])
+    return ev(spark, d).select(line.alias("line"), event_no().alias("k"), text("f", event_no() % 3, ".log").alias("file"))
 
 
 @query(
@@ -507,10 +515,10 @@ def load_time_window(spark, d):
 # -- binary event logs -----------------------------------------------------------------------------
 def event_logs(spark, d) -> DataFrame:
     """(path, content): binary logs made of the security records, one for each partition of ``events``."""
-    data = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_replace(v, "&amp;", "&").alias("v")) for k, v in _SECURITY_DATA])
-    provider = F.when(N % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
+    data = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_replace(v, "&amp;", "&").alias("v")) for k, v in _security_data()])
+    provider = F.when(event_no() % 17 == 0, "Other-Provider").otherwise(windows.P + "Security-Auditing")
     ticks = (F.unix_micros(F.col("ts").cast("timestamp")) + 11_644_473_600_000_000) * 10
-    rows = ev(spark, d).select(N.alias("n"), ticks.alias("ticks"), provider.alias("provider"), pick(N, IDS).cast("int").alias("id"), text("SRV", U % 9, ".corp").alias("computer"), data.alias("data"))
+    rows = ev(spark, d).select(event_no().alias("n"), ticks.alias("ticks"), provider.alias("provider"), pick(event_no(), IDS).cast("int").alias("id"), text("SRV", user_no() % 9, ".corp").alias("computer"), data.alias("data"))
 
     def run(frames):
         for frame in frames:
@@ -553,7 +561,7 @@ def _images(spark, d) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"path": frame["path"], "content": [fixture.image(k) for k in frame["k"]]})
 
-    return ev(spark, d).select(text("i", N).alias("path"), (N % 7).cast("int").alias("k")).mapInPandas(run, "path string, content binary")
+    return ev(spark, d).select(text("i", event_no()).alias("path"), (event_no() % 7).cast("int").alias("k")).mapInPandas(run, "path string, content binary")
 
 
 @query(
@@ -587,7 +595,7 @@ def image_virtual_disks(spark, d):
                     rows.append((f"d{n}/a.vmdk", disk if kind == 0 else images.write_sparse(disk, compressed=kind == 2)))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    made = ev(spark, d).where(N % 20 == 0).select(N.alias("n"), U.alias("u")).mapInPandas(run, "path string, content binary")
+    made = ev(spark, d).where(event_no() % 20 == 0).select(event_no().alias("n"), user_no().alias("u")).mapInPandas(run, "path string, content binary")
     piece = lambda at: F.regexp_extract(F.decode(F.substring("content", at + 1, 40), "ISO-8859-1"), "^([A-Z0-9]*)", 1)
     return images.virtual_disks(made).select("path", F.length("content").alias("size"), piece(4096).alias("near"), piece(16896).alias("far"))
 
@@ -598,9 +606,9 @@ def image_virtual_disks(spark, d):
 )
 def source_triage_join(spark, d):
     """Event logs inside archives with the kind, host and label of the outermost one."""
-    archive = pick(N, [text("/e/C_20240101-101010_u", U, ".zip"), text("/e/Collection-PC-h", U, "-2024-01-01T00_00.zip"), text("/e/PC", U, "_20240101.zip"), text("/e/offline_collector_output_PC_", U, "_2024-01-01_10-10-10.zip"), text("/e/x", U, ".zip"), text("/e/Velociraptor/x", U, ".zip")])
-    rows = ev(spark, d).select(N.alias("ordinal"), F.concat(archive, F.lit(" -> in.zip -> a.evtx")).alias("path"), archive.alias("archive"))
-    kinds = rows.select("archive", F.when(N_ORDINAL % 6 == 2, "kape").when(N_ORDINAL % 6 == 3, "cortex").when(N_ORDINAL % 6 == 1, "velociraptor").otherwise("").alias("kind")).distinct()
+    archive = pick(event_no(), [text("/e/C_20240101-101010_u", user_no(), ".zip"), text("/e/Collection-PC-h", user_no(), "-2024-01-01T00_00.zip"), text("/e/PC", user_no(), "_20240101.zip"), text("/e/offline_collector_output_PC_", user_no(), "_2024-01-01_10-10-10.zip"), text("/e/x", user_no(), ".zip"), text("/e/Velociraptor/x", user_no(), ".zip")])
+    rows = ev(spark, d).select(event_no().alias("ordinal"), F.concat(archive, F.lit(" -> in.zip -> a.evtx")).alias("path"), archive.alias("archive"))
+    kinds = rows.select("archive", F.when(F.col("ordinal") % 6 == 2, "kape").when(F.col("ordinal") % 6 == 3, "cortex").when(F.col("ordinal") % 6 == 1, "velociraptor").otherwise("").alias("kind")).distinct()
     return files.with_triage(rows.select("ordinal", "path"), kinds).select("ordinal", "kind", F.coalesce("host", F.lit("")).alias("host"), "label")
 
 
@@ -611,8 +619,8 @@ def parse_summary(spark, d):
 
 @query("SELECT event_id AS ordinal, CASE WHEN event_id % 2 = 0 THEN 'disk.E01/vss_1/Security.evtx' ELSE '/logs/a.evtx' END AS log_filename FROM events")
 def image_log_filename(spark, d):
-    path = F.when(N % 2 == 0, "C:\\tmp\\extracted\\disk.E01\\vss_1\\Security.evtx").otherwise("/logs/a.evtx")
-    return ev(spark, d).select(N.alias("ordinal"), images.image_filename(path, "extracted").alias("log_filename"))
+    path = F.when(event_no() % 2 == 0, "C:\\tmp\\extracted\\disk.E01\\vss_1\\Security.evtx").otherwise("/logs/a.evtx")
+    return ev(spark, d).select(event_no().alias("ordinal"), images.image_filename(path, "extracted").alias("log_filename"))
 
 
 # -- discovery, archives, hives --------------------------------------------------------------------
@@ -625,7 +633,7 @@ def image_log_filename(spark, d):
 def source_hives(spark, d):
     """One hive a user, with keys that are no shares between."""
     ticks = (F.unix_timestamp(F.col("ts").cast("timestamp")) + 11_644_473_600) * 10_000_000
-    rows = ev(spark, d).select((U % 50).alias("user"), F.when(N % 3 == 1, "C").when(N % 3 == 2, "##é#x").otherwise(text("##FS", N, "#share")).alias("key"), F.when(N % 3 == 2, 0).otherwise(ticks).alias("ticks"))
+    rows = ev(spark, d).select((user_no() % 50).alias("user"), F.when(event_no() % 3 == 1, "C").when(event_no() % 3 == 2, "##é#x").otherwise(text("##FS", event_no(), "#share")).alias("key"), F.when(event_no() % 3 == 2, 0).otherwise(ticks).alias("ticks"))
 
     def run(key, frame):
         return pd.DataFrame({"path": [f"file:/Users/u{key[0]}/NTUSER.DAT"], "content": [hive.write(list(zip(frame["key"], frame["ticks"], strict=True)))]})
@@ -652,14 +660,14 @@ def source_archives(spark, d):
             z.writestr("bad.zip", b"none")
         return pd.DataFrame({"path": [f"a{key[0]}.zip", "no.zip"], "content": [outer.getvalue(), b"no"]})
 
-    made = ev(spark, d).select((U % 50).alias("user"), N.alias("n")).groupBy("user").applyInPandas(run, "path string, content binary")
+    made = ev(spark, d).select((user_no() % 50).alias("user"), event_no().alias("n")).groupBy("user").applyInPandas(run, "path string, content binary")
     return files.expand_archives(made, files.LINUX_NAMES).select("path", F.size(F.split(F.decode("content", "UTF-8"), "\n")).cast("long").alias("lines"))
 
 
 @query("SELECT DISTINCT 'h' || user_id % 5 || '/' || ['auth.log', 'wtmp', 'secure-1'][CAST(event_id % 4 AS INT) + 1] AS path FROM events WHERE event_id % 4 < 3")
 def source_discover(spark, d):
     """Names of evidence files below a folder, each once, other files left out.  Spark names its files itself, so folders carry the names."""
-    names = ev(spark, d).select(F.lit("x").alias("value"), text("h", U % 5, "/", pick(N, ["auth.log", "wtmp", "secure-1", "readme.md"])).alias("name")).distinct()
+    names = ev(spark, d).select(F.lit("x").alias("value"), text("h", user_no() % 5, "/", pick(event_no(), ["auth.log", "wtmp", "secure-1", "readme.md"])).alias("name")).distinct()
     root = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     names.write.partitionBy("name").text(root)
     found = files.discover(spark, root, "[.]txt$").select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("path")).distinct()
@@ -670,7 +678,7 @@ def source_discover(spark, d):
 def _stream(spark, d) -> DataFrame:
     """``events`` as a stream of edges (origin, destination, rel_type, time)."""
     made = spark.readStream.schema(ev(spark, d).schema).parquet(f"{d}/events.parque[t]")  # a pattern: a stream takes no single file
-    return made.select(text("H", U % 20).alias("origin"), text("H", N % 20).alias("destination"), F.upper("event_type").alias("rel_type"), F.col("ts").cast("timestamp").alias("time")).withWatermark("time", "10 minutes")
+    return made.select(text("H", user_no() % 20).alias("origin"), text("H", event_no() % 20).alias("destination"), F.upper("event_type").alias("rel_type"), F.col("ts").cast("timestamp").alias("time")).withWatermark("time", "10 minutes")
 
 
 def _run(stream: DataFrame, complete: bool = False) -> DataFrame:

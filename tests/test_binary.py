@@ -4,6 +4,7 @@ import random
 import struct
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tracewright import fixture
@@ -101,6 +102,14 @@ def test_hives():
         hive.Hive(b"none")
 
 
+def test_partitions_of_a_batch_are_a_batch():
+    names, made = [f"i{k}" for k in range(700)], [fixture.image(k % 7) for k in range(699)] + [None]
+    got = list(images.partition_rows(iter([pa.RecordBatch.from_arrays([pa.array(names), pa.array(made, pa.binary())], names=["path", "content"])])))
+    assert len(got) == 1 and got[0].column("path").to_pylist() == names
+    want = [((images.volumes(x or b"") or [("", 0)])[0], images.describe(x or b"")) for x in made]
+    assert [((r["kind"], r["offset"]), r["description"]) for r in got[0].to_pylist()] == want
+
+
 def test_discovery(spark, tmp_path):
     names = ["a/Current.mdb", "b/Sum/x.mdb", "c/1/2/3/4/SystemIdentity.mdb", "c/1/2/3/4/5/Current.mdb", "a/other.mdb", "var/log/auth.log.1", "var/log/wtmp", "x/system.journal", "notes.txt"]
     for n in names:

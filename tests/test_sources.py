@@ -2,6 +2,7 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,15 @@ def test_login_records(spark):
     assert got == [("amy", "SUCCESSFUL_LOGON", "10.0.0.2"), ("eve", "FAILED_LOGON", ""), ("joe", "SUCCESSFUL_LOGON", "10.0.0.1")]
 
 
+def test_login_records_of_many_files_are_few_batches():
+    record = struct.pack("<hxxi32s4s32s256shhiii4I20x", 7, 1, b"pts/0", b"0", b"joe", b"10.0.0.1", 0, 0, 0, 1704067200, 0, 0, 0, 0, 0)
+    sizes = [1] * 700 + [0, linux.ROWS + 5]
+    made = pa.RecordBatch.from_arrays([pa.array([f"/h/{k}/wtmp" for k in range(len(sizes) + 1)]), pa.array([record * n for n in sizes] + [None], pa.binary())], names=["path", "content"])
+    got = list(linux.login_rows(iter([made])))
+    assert [b.num_rows for b in got] == [linux.ROWS, 705]
+    assert {tuple(r.values()) for b in got for r in b.to_pylist()} == {("2024-01-01T00:00:00+00:00", "joe", "10.0.0.1", "pts/0", "LOGIN", "wtmp")}
+
+
 def test_rules(spark):
     rule = {
         "prefilter": {"contains_any": ["VPN"]},

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ XINETD = r"START: \S+ .*from=(?:::ffff:)?(\S+)"
 PAM = r"authentication failure;.*rhost=(\S+)(?:.* user=(\S+))?"
 RECORD = struct.Struct("<hxxi32s4s32s256shhiii4I20x")
 KINDS = {7: "LOGIN", 8: "LOGOUT", 2: "BOOT_TIME"}
+ROWS = 10_000  # of a batch that a decoder gives
 
 
 def _rows(df: DataFrame, time: Column, host: Column, kind: Column, tag: Column, user: Column, remote: Column, note: Column, file: Column) -> DataFrame:
@@ -70,7 +71,7 @@ def audit(df: DataFrame, line_col: str = "line", hostname: str = "", file: str =
     return _rows(rows, F.col("__t"), F.lit(hostname), kind, tag, F.col("__u"), F.col("__r"), F.lit(""), F.lit(file))
 
 
-def login_records(content: bytes) -> Iterator[tuple[str, str, str, str, str]]:
+def login_records(content: bytes | memoryview) -> Iterator[tuple[str, str, str, str, str]]:
     """(time, user, remote, line, kind) of the 384-byte login records that count."""
     for at in range(0, len(content) - RECORD.size + 1, RECORD.size):
         kind, _, line, _, user, host, _, _, _, sec, _, a, b, c, d = RECORD.unpack_from(content, at)
@@ -84,16 +85,28 @@ def login_records(content: bytes) -> Iterator[tuple[str, str, str, str, str]]:
         yield datetime.fromtimestamp(sec, UTC).isoformat(), text(user), remote, text(line), KINDS[kind]
 
 
+def login_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of all files as rows (t, u, r, l, k, f), ROWS at a time, however many files they come from."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(6)], names=list("turlkf"))
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            name = path.rsplit("/", 1)[-1]
+            for r in login_records(memoryview(content.as_buffer() or b"")):
+                rows.append((*r, name))
+                if len(rows) == ROWS:
+                    yield made(rows)
+                    rows = []
+    yield made(rows)
+
+
 def utmp(files: DataFrame, hostname: str = "") -> DataFrame:
     """Files as the binaryFile source reads them (path, content).  Records of a file named btmp are
     failed logins and need no address; others do."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield pd.DataFrame([(*r, path.rsplit("/", 1)[-1]) for r in login_records(bytes(content))], columns=["t", "u", "r", "l", "k", "f"])
-
-    rows = files.select("path", "content").mapInPandas(run, "t string, u string, r string, l string, k string, f string")
+    rows = files.select("path", "content").mapInArrow(login_rows, "t string, u string, r string, l string, k string, f string")
     failed = F.col("f") == "btmp"
     rows = rows.where(failed | net.valid(F.col("r")))
     kind = F.when(failed, "FAILED_LOGON").when(F.col("k") == "LOGIN", "SUCCESSFUL_LOGON").when(F.col("k") == "LOGOUT", "LOGOFF").otherwise("CONNECT")

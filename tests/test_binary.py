@@ -6,8 +6,9 @@ import struct
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright import fixture
+from tracewright import fixture, source_queries
 from tracewright.sources import evtx, files, images, windows
 
 
@@ -110,6 +111,14 @@ def test_partitions_of_a_batch_are_a_batch():
     assert [((r["kind"], r["offset"]), r["description"]) for r in got[0].to_pylist()] == want
 
 
+def test_skip_reasons_of_many_images(spark):
+    """Images of every kind, made without Python; their number is that of the rows."""
+    rows = spark.range(0, 7000, 1, 2).select(F.concat(F.lit("i"), "id").alias("path"), source_queries.pick(F.col("id"), [F.lit(fixture.image(k)) for k in range(7)]).alias("content"))
+    assert {tuple(r) for r in images.skip_reasons(images.partitions(rows)).collect()} == {("encrypted volume", 1000), ("no partition table", 1000)}
+    made = source_queries._images(spark, "/root/testdata/sf0.001")
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString() and "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_discovery(spark, tmp_path):
     names = ["a/Current.mdb", "b/Sum/x.mdb", "c/1/2/3/4/SystemIdentity.mdb", "c/1/2/3/4/5/Current.mdb", "a/other.mdb", "var/log/auth.log.1", "var/log/wtmp", "x/system.journal", "notes.txt"]
     for n in names:

@@ -557,11 +557,7 @@ def carve_chunks(spark, d):
 
 # -- disk images -----------------------------------------------------------------------------------
 def _images(spark, d) -> DataFrame:
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [fixture.image(k) for k in frame["k"]]})
-
-    return ev(spark, d).select(text("i", event_no()).alias("path"), (event_no() % 7).cast("int").alias("k")).mapInPandas(run, "path string, content binary")
+    return ev(spark, d).select(text("i", event_no()).alias("path"), pick(event_no(), [F.lit(fixture.image(k)) for k in range(7)]).alias("content"))
 
 
 @query(

@@ -58,6 +58,38 @@ def test_streams(spark, tmp_path):
     assert spark.table("rotation").count() == want.count() > 0
 
 
+def test_chains_meet_by_host_and_time(spark):
+    """Pairs at the borders of the steps, before 1970 too; the join's keys hold the time, so a busy host is not compared with itself."""
+    rng = random.Random(4)
+    gap = 300_000_000
+    ticks = [base + d for base in (0, 5 * gap, -3 * gap, 170_000 * gap) for d in (-gap, -1, 0, 1, gap - 1, gap, gap + 1, 2 * gap)]
+    rows = [(rng.choice("abc"), rng.choice("abc"), rng.choice("uv"), t) for t in ticks for _ in range(6)]
+    df = spark.createDataFrame(rows, "origin string, destination string, rel_type string, t long").selectExpr("origin", "destination", "rel_type", "timestamp_micros(t) AS time")
+    got = timelines.chains(df, df)
+    assert got.columns == ["a", "b", "u1", "t1", "b2", "c", "u2", "t2"]
+    want = sorted((x[0], x[1], y[1], x[2], y[2], x[3], y[3]) for x in rows for y in rows if x[1] == y[0] and x[3] < y[3] <= x[3] + gap and x[2] != y[2] and x[0] != y[1])
+    assert sorted(tuple(r) for r in got.selectExpr("a", "b", "c", "u1", "u2", "unix_micros(t1)", "unix_micros(t2)").collect()) == want
+    assert "s1#" in got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].splitlines()[0]
+
+
+def test_stream_state_has_no_more_partitions_than_its_rows_need(spark):
+    from pathlib import Path
+
+    from tracewright import source_queries
+    from tracewright.operators.order import shared_dir
+
+    key, old = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("stream-*"))
+    spark.conf.set(key, "16")
+    try:
+        source_queries.QUERIES["stream_chains"](spark, DIR)
+        assert spark.conf.get(key) == "16"
+    finally:
+        spark.conf.set(key, old)
+    (made,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("stream-*")) - before
+    assert {p.name for p in (made / "state/state/0").iterdir() if p.name.isdigit()} == {"0", "1", "2", "3"}
+
+
 def test_temporal_paths_against_brute_force(spark):
     from datetime import datetime, timedelta
 

@@ -677,16 +677,31 @@ def _stream(spark, d) -> DataFrame:
     return made.select(text("H", user_no() % 20).alias("origin"), text("H", event_no() % 20).alias("destination"), F.upper("event_type").alias("rel_type"), F.col("ts").cast("timestamp").alias("time")).withWatermark("time", "10 minutes")
 
 
-def _run(stream: DataFrame, complete: bool = False) -> DataFrame:
-    """All that a stream gives for what there is now, through a table in the shared folder."""
+STATE_ROWS = 200_000  # of a partition, about; the state is in memory
+
+
+def _run(stream: DataFrame, complete: bool = False, held: int | None = None) -> DataFrame:
+    """All that a stream gives for what there is now, through a table in the shared folder.
+
+    A partition of state writes its files at every step, however little it holds, so where the rows ``held``
+    are known there are as many partitions as they need, but not fewer than cores nor more than the session's.
+    """
     spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if complete:
         out = out.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/out"))
     else:
         out = out.outputMode("append").format("parquet").option("path", f"{root}/out")
-    out.start().awaitTermination()
+    if held is not None:
+        spark.conf.set(key, str(min(int(usual), max(spark.sparkContext.defaultParallelism, held // STATE_ROWS + 1))))
+    try:
+        run = out.start()
+    finally:
+        spark.conf.set(key, usual)
+    run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -701,7 +716,7 @@ _STREAMED = "(SELECT 'H' || user_id % 20 AS o, 'H' || event_id % 20 AS d, upper(
 
 @query(f"SELECT x.o AS a, x.d AS b, y.d AS c, x.u AS u1, y.u AS u2, x.ts AS t1, y.ts AS t2 FROM {_STREAMED} x JOIN {_STREAMED} y ON x.d = y.o AND y.ts > x.ts AND y.ts <= x.ts + INTERVAL 300 SECOND WHERE x.u <> y.u AND x.o <> y.d")
 def stream_chains(spark, d):
-    got = _run(timelines.chains(_stream(spark, d), _stream(spark, d)))
+    got = _run(timelines.chains(_stream(spark, d), _stream(spark, d)), held=3 * ev(spark, d).count())  # first hops stand twice
     return got.select("a", "b", "c", "u1", "u2", F.col("t1").cast("timestamp_ntz").alias("t1"), F.col("t2").cast("timestamp_ntz").alias("t2"))
 
 

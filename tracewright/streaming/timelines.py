@@ -24,8 +24,15 @@ def rotation(edges: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 def chains(first: DataFrame, second: DataFrame, gap: int = MAX_GAP) -> DataFrame:
-    """Stream-stream interval join: hops through one host by different users within ``gap`` seconds."""
+    """Stream-stream interval join: hops through one host by different users within ``gap`` seconds.
+
+    Keys are the host and the time in steps of ``gap``; a first hop stands under its own step and the next,
+    so each pair meets once and a row is compared with those of its host and step, not with all of its host.
+    """
+    step = lambda c: F.floor(F.unix_seconds(c) / max(gap, 1))
     a = first.select(F.col("origin").alias("a"), F.col("destination").alias("b"), F.col("rel_type").alias("u1"), F.col("time").alias("t1"))
+    a = a.select("*", F.explode(F.array(step(F.col("t1")), step(F.col("t1")) + 1)).alias("s1"))
     b = second.select(F.col("origin").alias("b2"), F.col("destination").alias("c"), F.col("rel_type").alias("u2"), F.col("time").alias("t2"))
-    close = (F.col("b") == F.col("b2")) & (F.col("t2") > F.col("t1")) & (F.col("t2") <= F.col("t1") + F.make_dt_interval(secs=F.lit(gap)))
-    return a.join(b, close).where("u1 <> u2 AND a <> c")
+    b = b.select("*", step(F.col("t2")).alias("s2"))
+    close = (F.col("b") == F.col("b2")) & (F.col("s1") == F.col("s2")) & (F.col("t2") > F.col("t1")) & (F.col("t2") <= F.col("t1") + F.make_dt_interval(secs=F.lit(gap)))
+    return a.join(b, close).where("u1 <> u2 AND a <> c").drop("s1", "s2")

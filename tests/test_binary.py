@@ -103,6 +103,16 @@ def test_hives():
         hive.Hive(b"none")
 
 
+def test_hives_of_many_keys(monkeypatch):
+    from tracewright.sources import hive
+
+    found = [(f"##FS{k}#share", k) for k in range(70_000)]  # more than two bytes count
+    assert list(hive.Hive(hive.write(found)).below(hive.MOUNT_POINTS)) == found
+    monkeypatch.setattr(hive, "LEAVES", 3)
+    monkeypatch.setattr(hive, "LISTS", 4)
+    assert list(hive.Hive(hive.write(found[:100])).below(hive.MOUNT_POINTS)) == found[:100]
+
+
 def test_partitions_of_a_batch_are_a_batch():
     names, made = [f"i{k}" for k in range(700)], [fixture.image(k % 7) for k in range(699)] + [None]
     got = list(images.partition_rows(iter([pa.RecordBatch.from_arrays([pa.array(names), pa.array(made, pa.binary())], names=["path", "content"])])))

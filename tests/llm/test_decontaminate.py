@@ -81,3 +81,38 @@ def test_widespread_and_common_items_are_found(spark):
     assert got >= {(1000 + k, 2) for k in range(75)} | {(2000 + k, 3) for k in range(30)} | {(3000, 20), (3001, 20)}
     assert got == brute(docs, items)
     assert {r.doc_id for r in d.clean(df, bench).collect()} == {k for k, _ in docs} - {k for k, _ in got}
+
+
+def test_fit_takes_every_passage_of_every_text(spark):
+    """What the fit adds up is that of all passages, one by one, also where they are more than their weight."""
+    _, docs, _ = made(7)
+    docs += [(500, None), (501, ""), (502, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    counts, n, uses, passages, kept = d.survey(df, "doc_id", "text")
+    found = [d.bucket(d.words(t)) for _, t in docs]
+    cut = [x[at : at + d.PASSAGE] for x in found for at in range(0, len(x), d.PASSAGE)]
+    assert n == len(docs) and passages == len(cut)
+    assert np.array_equal(uses, np.bincount(np.concatenate(found), minlength=d.DIM))
+    assert np.array_equal(counts, sum(np.bincount(np.unique(x), minlength=d.DIM) for x in found))
+    got = []
+    for r in kept.collect():
+        ends = np.cumsum(np.frombuffer(r.sizes, np.uint8).astype(int))
+        got += np.split(np.frombuffer(r.words, np.uint16).astype(int), ends[:-1])
+    assert sorted(x.tolist() for x in got) == sorted(x.tolist() for x in cut)
+
+    idf = np.where(counts > 20, 0.0, np.log((n + 1) / (counts + 1)))
+    vectors = []
+    for x in cut:
+        cols, tf = np.unique(x, return_counts=True)
+        v = tf * idf[cols]
+        if v.any():
+            vectors.append((cols, v / np.sqrt((v * v).sum())))
+    q = d.orthonormal(np.random.default_rng(5).standard_normal((d.DIM, 8)))
+    want = np.zeros((d.DIM, 8))
+    for cols, v in vectors:
+        want[cols] += v[:, None] * (v @ q[cols])
+    z = np.zeros((d.DIM, 8), np.float32)
+    d._added(z, np.concatenate(cut), np.array([len(x) for x in cut]), idf, q)
+    assert np.allclose(z, want, atol=1e-6)
+    one, other = d.basis(kept, 0.1, idf, [], 8, 1), d.orthonormal(want)
+    assert np.allclose(one.T @ other @ other.T @ one, np.eye(8), atol=1e-3)

@@ -2,11 +2,11 @@
 
 1. Document frequencies of hashed words are counted over all documents; words in more than
    ``MAX_DF`` of them have no weight in the latent space.
-2. A distributed randomised SVD of the TF-IDF vectors of the benchmark items and a sample of
-   passages, each passage of every whole text taken with the same chance such that about
-   ``FIT_PASSAGES`` are expected, gives a basis of ``RANK`` latent dimensions: each
-   partition sends its share of A'(A Q), added up by blocks of rows; only the small sums reach
-   the driver, which makes them orthogonal.
+2. A distributed randomised SVD of the TF-IDF vectors of the benchmark items and of every passage
+   of every whole text gives a basis of ``RANK`` latent dimensions: each partition sends its
+   share of A'(A Q), added up by blocks of rows; only the small sums reach the driver, which makes
+   them orthogonal.  All passages together weigh as ``FIT_WEIGHT`` of them at most, so that the
+   items, ``ITEM_WEIGHT`` each, keep their part however many documents there are.
 3. Every document is cut into overlapping windows at a few lengths that suit the items.  Windows
    are projected and compared with all items by cosine (a fixed query set against all rows, in
    blocks), with the norm of the whole window below the line, so what lies outside the latent
@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import materialize, slices, with_id
-from tracewright.llm.substring import _mix, word_hashes
+from tracewright.llm.substring import word_hashes
 
 BITS, RANK, STEP = 16, 64, 8
 DIM = 1 << BITS
-FIT_PASSAGES, PASSAGE, CHARS = 8000, 48, 6
+PASSAGE, FIT_WEIGHT, SHARE_WORDS = 48, 8000, 1 << 25  # words, what all passages weigh at most beside the items, words of a task of the fit
+DOCS = 128  # of a slice of the survey
 MAX_DF, ITEM_WEIGHT = 0.03, 4.0
 COSINE, LCS_SHARE, ANSWER_SHARE, STRETCH = 0.45, 0.6, 0.5, 1.3
 ITEMS_PER_PASS = 256
@@ -91,97 +92,128 @@ def _mask(found: np.ndarray) -> dict[int, int]:
 
 
 # -- fitting ------------------------------------------------------------------------------------
-def survey(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, int, np.ndarray, DataFrame]:
-    """(documents that hold each hashed word, documents, its uses, sampled passages as word hashes) of whole texts.
+def survey(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, int, np.ndarray, int, DataFrame]:
+    """(documents that hold each hashed word, documents, its uses, passages, the passages themselves) of whole texts.
 
-    Counts are summed by hash value; 2 DIM numbers reach the driver.  A passage is PASSAGE words one after
-    another; those whose hash of id, place and words is under a share of the hashes are taken.  The share is
-    FIT_PASSAGES by the number of passages that the characters make at CHARS a word, so the sample is about
-    as large at every size.  Null ids and texts, repeated rows: as any other; equal rows are taken together.
+    Counts are summed by hash value; 2 DIM numbers reach the driver.  The passages of every text, PASSAGE
+    words one after another and the rest of it, are written as their words' buckets in two bytes each, so
+    that the fit reads no text again.  Null ids and texts, repeated rows: as any other.
     """
-    chars = df.select(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
-    below = np.uint64(min(2**64 - 1, int(2**64 * FIT_PASSAGES * PASSAGE * CHARS / max(chars, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, uses, n = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64), 0
-        empty = pa.array([], pa.int64())
-        for part in slices(batches, 256):
-            found = [words(t) for t in part.column("__text").to_pylist()]
+        total, uses, n, passages = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64), 0, 0
+        place = np.empty(DOCS << BITS, np.int32)
+        for part in slices(batches, DOCS):
+            found = [bucket(words(t)) for t in part.column("__text").to_pylist()]
+            sizes = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate(found)
             n += len(found)
-            flat = np.concatenate([bucket(w) + (k << BITS) for k, w in enumerate(found)]).astype(np.int64)
-            total += np.bincount(np.unique(flat) & (DIM - 1), minlength=DIM)
-            uses += np.bincount(flat & (DIM - 1), minlength=DIM)
-            taken = [w[at : at + PASSAGE] for w, own in zip(found, part.column("__key").to_pylist(), strict=True) for at in _picked(w, own, below)]
-            if taken:
-                gaps = pa.array([None] * len(taken), pa.int64())
-                yield pa.RecordBatch.from_arrays([gaps, gaps, gaps, pa.array([x.tobytes() for x in taken], pa.binary())], names=["k", "n", "uses", "passage"])
+            uses += np.bincount(flat, minlength=DIM)
+            # of the places of a word in a document the last one stays written
+            key, at = flat + (np.repeat(np.arange(len(found)), sizes) << BITS), np.arange(len(flat), dtype=np.int32)
+            place[key] = at
+            total += np.bincount(flat[place[key] == at], minlength=DIM)
+            if len(flat):
+                cut = _cut(sizes)
+                passages += len(cut)
+                gaps = pa.nulls(1, pa.int64())
+                raw = [pa.array([x.tobytes()], pa.binary()) for x in (flat.astype(np.uint16), cut)]
+                yield pa.RecordBatch.from_arrays([gaps, gaps, gaps, *raw], names=["k", "n", "uses", "words", "sizes"])
         at = np.flatnonzero(total)
-        sums = [pa.array(np.append(at, -1)), pa.array(np.append(total[at], n)), pa.array(np.append(uses[at], 0))]
-        yield pa.RecordBatch.from_arrays([*sums, pa.nulls(len(at) + 1, pa.binary())], names=["k", "n", "uses", "passage"])
+        sums = [pa.array(np.append(at, -1)), pa.array(np.append(total[at], n)), pa.array(np.append(uses[at], passages))]
+        none = pa.nulls(len(at) + 1, pa.binary())
+        yield pa.RecordBatch.from_arrays([*sums, none, none], names=["k", "n", "uses", "words", "sizes"])
 
-    rows = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("__key"), F.col(text_col).alias("__text"))
-    made = materialize(rows.mapInArrow(run, "k long, n long, uses long, passage binary"), "survey")
+    rows = df.select(F.col(text_col).alias("__text"))
+    made = materialize(rows.mapInArrow(run, "k long, n long, uses long, words binary, sizes binary"), "survey")
     sums = made.where("k IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")).collect()
-    out, uses = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
+    out, uses, n, passages = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64), 0, 0
     for r in sums:
         if r.k >= 0:
             out[r.k], uses[r.k] = r.n, r.uses
-    sample = made.where("passage IS NOT NULL").select("passage").repartition(8)
-    return out, sum(r.n for r in sums if r.k < 0), uses, materialize(sample, "passages")
-
-
-def _picked(found: np.ndarray, own: int, below: np.uint64) -> list[int]:
-    """Starts of the passages that are taken of a text."""
-    at = np.arange(0, len(found), PASSAGE)
-    if not len(at):
-        return []
-    h = _mix(np.add.reduceat(_mix(found), at) ^ _mix(at.astype(np.uint64) + np.uint64(own & (2**64 - 1))))
-    return at[h < below].tolist()
+        else:
+            n, passages = r.n, r.uses
+    shares = min(max(8, int(uses.sum()) // SHARE_WORDS), 256)
+    return out, n, uses, passages, made.where("words IS NOT NULL").select("words", "sizes").coalesce(shares)
+
+
+def _cut(sizes: np.ndarray) -> np.ndarray:
+    """Words of the passages of texts of so many words, one text after another."""
+    counts = -(-sizes // PASSAGE)
+    out = np.full(int(counts.sum()), PASSAGE, np.uint8)
+    some = counts > 0
+    out[np.cumsum(counts)[some] - 1] = (sizes - PASSAGE * (counts - 1))[some]
+    return out
 
 
-def _vectors(found: list[np.ndarray], idf: np.ndarray, passage: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Normalised TF-IDF vectors of consecutive passages of word hashes, as (columns, values)."""
-    out = []
-    for x in found:
-        b = bucket(x)
-        for at in range(0, len(b), passage):
-            cols, tf = np.unique(b[at : at + passage], return_counts=True)
-            val = tf * idf[cols]
-            norm = np.sqrt((val * val).sum())
-            if norm > 0:
-                out.append((cols, val / norm))
+def _added(z: np.ndarray, flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray, q: np.ndarray) -> None:
+    """Add A'(A q) to ``z``, where the rows of A are the normalised TF-IDF vectors of passages: buckets, and words of each."""
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    for at in range(0, len(sizes), 1024):
+        some = sizes[at : at + 1024]
+        b = flat[ends[at] : ends[at + len(some)]].astype(np.uint32)
+        keep = idf[b] > 0
+        key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint32), some)[keep] << np.uint32(BITS)) + b[keep])
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cols, own = (key[first] & np.uint32(DIM - 1)).astype(np.int64), (key[first] >> np.uint32(BITS)).astype(np.int64)
+        val = np.diff(np.append(first, len(key))) * idf[cols]
+        val = (val / np.sqrt(np.bincount(own, val * val))[own]).astype(np.float32)
+        new = np.append(True, own[1:] != own[:-1])
+        row = np.cumsum(new) - 1
+        y = _sums(q, cols, val, np.flatnonzero(new))
+        order = np.argsort(cols.astype(np.uint16), kind="stable")
+        cols = cols[order]
+        heads = np.flatnonzero(np.append(True, cols[1:] != cols[:-1]))
+        z[cols[heads]] += _sums(y, row[order], val[order], heads)
+
+
+def _sums(table: np.ndarray, at: np.ndarray, weights: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Weighted sums of the rows ``at`` of a table from each head to the next; runs of one length together."""
+    out = np.empty((len(heads), table.shape[1]), np.float32)
+    sizes = np.diff(np.append(heads, len(at)))
+    for size in np.flatnonzero(np.bincount(sizes)).tolist():
+        some = np.flatnonzero(sizes == size)
+        if size == 1:
+            alone = heads[some]
+            out[some] = weights[alone][:, None] * table[at[alone]]
+            continue
+        run = heads[some][:, None] + np.arange(size)
+        out[some] = np.matmul(weights[run][:, None, :], table[at[run]])[:, 0]
     return out
 
 
-def basis(sample: DataFrame, idf: np.ndarray, items: list[Item], rank: int = RANK, rounds: int = 2) -> np.ndarray:
-    """Orthonormal basis (DIM x rank) of the leading right singular vectors, by randomised subspace iteration."""
+def basis(passages: DataFrame, share: float, idf: np.ndarray, items: list[Item], rank: int = RANK, rounds: int = 2) -> np.ndarray:
+    """Orthonormal basis (DIM x rank) of the leading right singular vectors, by randomised subspace iteration.
+
+    All passages count, each by ``share``, and the items beside them.
+    """
     q = orthonormal(np.random.default_rng(5).standard_normal((DIM, rank)))
     rows_per = DIM // 32
-    own = [(cols, ITEM_WEIGHT * val) for cols, val in _vectors([x.words for x in items], idf, 1 << 30)]
-
-    def share(vectors, q: np.ndarray) -> np.ndarray:
-        z = np.zeros((DIM, rank), np.float32)
-        for cols, val in vectors:
-            z[cols] += val[:, None].astype(np.float32) * (val.astype(np.float32) @ q[cols])
-        return z
 
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
             z = np.zeros((DIM, rank), np.float32)
-            for part in slices(batches, 256):
-                z += share(_vectors([np.frombuffer(x, np.uint64) for x in part.column("passage").to_pylist()], idf, PASSAGE), q)
+            for part in slices(batches, 16):
+                for flat, sizes in zip(part.column("words"), part.column("sizes"), strict=True):
+                    _added(z, np.frombuffer(flat.as_buffer(), np.uint16), np.frombuffer(sizes.as_buffer(), np.uint8), idf, q)
             for k in range(32):
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "z": pa.array([z[k * rows_per : (k + 1) * rows_per].tobytes()], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("z").to_pylist())
+            total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table.column("z"))
             return pa.table({"k": table.column("k").slice(0, 1), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        z = share(own, q)
-        for r in sample.mapInArrow(run, "k int, z binary").groupBy("k").applyInArrow(add, "k int, z binary").collect():
-            z[r.k * rows_per : (r.k + 1) * rows_per] += np.frombuffer(r.z, np.float32).reshape(rows_per, rank)
-        q = orthonormal(z)
+        z = np.zeros((DIM, rank), np.float32)
+        for r in passages.mapInArrow(run, "k int, z binary").groupBy("k").applyInArrow(add, "k int, z binary").collect():
+            z[r.k * rows_per : (r.k + 1) * rows_per] = np.frombuffer(r.z, np.float32).reshape(rows_per, rank)
+        z *= np.float32(share)
+        own = np.zeros((DIM, rank), np.float32)
+        for x in items:
+            _added(own, bucket(x.words), np.array([len(x.words)]), idf, q)
+        q = orthonormal(z + ITEM_WEIGHT**2 * own)
     return q
 
 
@@ -272,13 +304,13 @@ def build(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     items = [x for x in (item_of(k, t) for k, t in rows) if x]
     if not items:
         return []
-    df_counts, n, uses, sample = survey(df, id_col, text_col)
+    df_counts, n, uses, count, passages = survey(df, id_col, text_col)
     idf = np.where(df_counts > max(MAX_DF * n, 5), 0.0, np.log((n + 1) / (df_counts + 1)))
     squares = np.append(idf**2, 0).astype(np.float32)
     out = []
     for at in range(0, len(items), ITEMS_PER_PASS):
         some = items[at : at + ITEMS_PER_PASS]
-        q = basis(sample, idf, some)
+        q = basis(passages, min(1.0, FIT_WEIGHT / max(count, 1)), idf, some)
         weights = np.vstack([(idf[:, None] * q).astype(np.float32), np.zeros((1, q.shape[1]), np.float32)])
         out.append(Index(weights, squares, some, projections(some, weights, squares), scales_for([len(x.words) for x in some]), seeds(some, uses)))
     return out

@@ -116,3 +116,15 @@ def test_fit_takes_every_passage_of_every_text(spark):
     assert np.allclose(z, want, atol=1e-6)
     one, other = d.basis(kept, 0.1, idf, [], 8, 1), d.orthonormal(want)
     assert np.allclose(one.T @ other @ other.T @ one, np.eye(8), atol=1e-3)
+
+
+def test_clean_fits_on_all_passages(spark, monkeypatch):
+    """As the pipeline calls it: more passages than they weigh together, and all of them reach the fit."""
+    items, docs, truth = made(9)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    seen, basis = [], d.basis
+    monkeypatch.setattr(d, "FIT_WEIGHT", 50)
+    monkeypatch.setattr(d, "basis", lambda passages, *rest: seen.append(sum(len(r.words) // 2 for r in passages.collect())) or basis(passages, *rest))
+    assert {r.doc_id for r in d.clean(df, bench).collect()} == {k for k, _ in docs} - {k for k, _ in truth}
+    assert seen == [sum(len(d.words(x)) for _, x in docs)]

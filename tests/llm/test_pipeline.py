@@ -9,7 +9,7 @@ import corpus_pipeline
 from tests.llm.test_neardup import brute as neardup_brute
 from tests.llm.test_pii import brute as base_spans
 from tests.llm.test_quality import brute as base_counts
-from tracewright.llm import pii, quality
+from tracewright.llm import decontaminate, pii, quality
 from tracewright.llm.common import words_of
 from tracewright.llm.queries import word_bpe
 
@@ -66,3 +66,37 @@ def test_odd_rows_and_names(spark):
     one = spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     counts = [stage(spark, one, DIR).count() for _, stage in corpus_pipeline.STAGES]
     assert counts == [0, 1, 2, 2, 2]
+
+
+def test_decontamination_fits_on_every_passage(spark, tmp_path, monkeypatch):
+    """At its own weights, with more passages than they weigh together: the basis is the one of all passages written out."""
+    d, rng = decontaminate, np.random.default_rng(4)
+    lengths = rng.integers(1, 500, 2_400)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, n)) for n in lengths]
+    items = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 30)) for _ in range(5)]
+    texts[7] = f"{texts[7]} {items[2]}"
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made, basis = [], d.basis
+    monkeypatch.setattr(d, "basis", lambda *given: made.append(basis(*given)) or made[-1])
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(len(texts))) - {7}
+
+    found = [d.bucket(d.words(t)) for t in texts]
+    counts = sum(np.bincount(np.unique(x), minlength=d.DIM) for x in found)
+    idf = np.where(counts > d.MAX_DF * len(texts), 0.0, np.log((len(texts) + 1) / (counts + 1)))
+    cut = [x[at : at + 48] for x in found for at in range(0, len(x), 48)]
+    assert len(cut) > 12_000
+    rows = [(x, 8_000 / len(cut)) for x in cut] + [(d.bucket(d.words(t)), d.ITEM_WEIGHT**2) for t in items]
+    q = d.orthonormal(np.random.default_rng(5).standard_normal((d.DIM, d.RANK)))
+    for _ in range(2):
+        z = np.zeros((d.DIM, d.RANK))
+        for x, weight in rows:
+            cols, tf = np.unique(x, return_counts=True)
+            v = tf * idf[cols]
+            if v.any():
+                v /= np.sqrt(v @ v)
+                z[cols] += weight * v[:, None] * (v @ q[cols])
+        q = d.orthonormal(z)
+    # cosines of the angles between the two spans
+    assert len(made) == 1 and np.linalg.svd(made[0].T @ q, compute_uv=False).min() > 0.999

@@ -128,3 +128,67 @@ def test_clean_fits_on_all_passages(spark, monkeypatch):
     monkeypatch.setattr(d, "basis", lambda passages, *rest: seen.append(sum(len(r.words) // 2 for r in passages.collect())) or basis(passages, *rest))
     assert {r.doc_id for r in d.clean(df, bench).collect()} == {k for k, _ in docs} - {k for k, _ in truth}
     assert seen == [sum(len(d.words(x)) for _, x in docs)]
+
+
+def test_texts_hashed_together_are_as_each_alone(monkeypatch):
+    _, docs, _ = made(11)
+    texts = [None, "", *(t for _, t in docs), " \n", "ΟΔΟΣ", "Σ.", "", "\udc80 İstanbul a-b", "x" * 3000, None]
+    for size in (1, 500, 1 << 17):
+        monkeypatch.setattr("tracewright.llm.substring.GROUP_BYTES", size)
+        got = d.words_each(texts)
+        assert len(got) == len(texts) and all(np.array_equal(x, d.words(t)) for x, t in zip(got, texts, strict=True))
+
+
+def test_skipped_windows_reach_no_item(monkeypatch):
+    """Windows go uncompared, and those only that are too short in latent space for any item."""
+    items, docs, _ = made(13)
+    found = [d.item_of(k, t) for k, t in enumerate(items)]
+    uses = np.bincount(d.bucket(np.concatenate([d.words(t) for _, t in docs])), minlength=d.DIM)
+    idf = np.where(uses > 100, 0.0, np.log(1e4 / (uses + 1)))
+    z = np.zeros((d.DIM, 16), np.float32)
+    for x in found:
+        d._added(z, d.bucket(x.words), np.array([len(x.words)]), idf, d.orthonormal(np.random.default_rng(5).standard_normal((d.DIM, 16))))
+    weights = np.vstack([(idf[:, None] * d.orthonormal(z)).astype(np.float32), np.zeros((1, 16), np.float32)])
+    squares = np.append(idf**2, 0).astype(np.float32)
+    scales = d.scales_for([len(x.words) for x in found])
+    index = d.Index(weights, squares, found, d.projections(found, weights, squares), scales, d.seeds(found, uses))
+    index.seeds.known[:] = False  # the latent search alone
+    offered, judge = [], d.judge
+    monkeypatch.setattr(d, "judge", lambda doc, item, whole, answer, hits: offered.append((len(doc), item.ident, hits)) or judge(doc, item, whole, answer, hits))
+    windows, want = 0, {}
+    for _, text in docs:
+        h = d.words(text)
+        flat = np.full(-(-len(h) // d.STEP) * d.STEP, d.DIM)
+        flat[: len(h)] = d.bucket(h)
+        sums, norms = weights[flat].reshape(-1, d.STEP, 16).sum(axis=1), squares[flat].reshape(-1, d.STEP).sum(axis=1)
+        for size in scales:
+            for s in range(max(1, len(sums) - size + 1)):
+                windows += 1
+                dots = index.vectors @ sums[s : s + size].sum(axis=0) / np.sqrt(max(norms[s : s + size].sum(), 1e-9))
+                for k in np.flatnonzero(dots >= 1).tolist():
+                    want.setdefault((len(h), k), []).append((s, size, float(dots[k])))
+    compared = []
+    monkeypatch.setattr(d, "reachable", lambda *args, real=d.reachable: compared.append(real(*args)) or compared[-1])
+    d.search([t for _, t in docs], index)
+    got = {}
+    for n, k, hits in offered:
+        got.setdefault((n, k), []).extend(hits)
+    firm = lambda x: sorted((at, size) for at, size, c in x if c > 1.0001)
+    assert {k: firm(v) for k, v in got.items() if firm(v)} == {k: firm(v) for k, v in want.items() if firm(v)} != {}
+    assert sum(map(len, compared)) < windows
+
+
+def test_sums_do_not_depend_on_what_is_taken_at_a_time(monkeypatch):
+    _, docs, _ = made(12)
+    flat = np.concatenate([d.bucket(d.words(t)) for _, t in docs])
+    sizes = d._cut(np.array([len(flat)]))
+    idf = np.ones(d.DIM)
+    q = d.orthonormal(np.random.default_rng(5).standard_normal((d.DIM, 8)))
+    sums = []
+    for block, gather in ((1, 1), (7, 16), (1 << 14, 2048)):
+        monkeypatch.setattr(d, "BLOCK", block)
+        monkeypatch.setattr(d, "GATHER", gather)
+        z = np.zeros((d.DIM, 8), np.float32)
+        d._added(z, flat, sizes, idf, q)
+        sums.append(z)
+    assert sums[0].any() and all(np.allclose(sums[0], x, atol=1e-5) for x in sums[1:])

@@ -10,7 +10,8 @@
 3. Every document is cut into overlapping windows at a few lengths that suit the items.  Windows
    are projected and compared with all items by cosine (a fixed query set against all rows, in
    blocks), with the norm of the whole window below the line, so what lies outside the latent
-   space counts against it; each pair over ``COSINE`` of what the item itself would reach is a
+   space counts against it; windows whose projection is too short for any item are not compared,
+   which loses none; each pair over ``COSINE`` of what the item itself would reach is a
    candidate.  Nothing is capped.
 4. Latent space says little of a passage so widespread that its own words are common, so an exact
    search stands beside: a leak matches ``LCS_SHARE`` of an item, so of any ``m`` of its words all
@@ -35,20 +36,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import materialize, slices, with_id
-from tracewright.llm.substring import word_hashes
+from tracewright.llm.substring import word_hashes, word_hashes_each
 
 BITS, RANK, STEP = 16, 64, 8
 DIM = 1 << BITS
 PASSAGE, FIT_WEIGHT, SHARE_WORDS = 48, 8000, 1 << 25  # words, what all passages weigh at most beside the items, words of a task of the fit
 DOCS = 128  # of a slice of the survey
+BLOCK, GATHER = 1 << 14, 2048  # passages that the fit adds at a time, rows of a table taken at a time
 MAX_DF, ITEM_WEIGHT = 0.03, 4.0
 COSINE, LCS_SHARE, ANSWER_SHARE, STRETCH = 0.45, 0.6, 0.5, 1.3
 ITEMS_PER_PASS = 256
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
+def _plain(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
+
+
 def words(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN))
+    return word_hashes(_plain(text))
+
+
+def words_each(texts: list[str | None]) -> list[np.ndarray]:
+    return word_hashes_each([_plain(t) for t in texts])
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -76,11 +86,9 @@ def lcs(mask: dict[int, int], n: int, other: list[int]) -> int:
     """Bits of the longest common subsequence state: zeros of the result mark matched words of the item."""
     full = (1 << n) - 1
     v = full
-    for w in other:
-        m = mask.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(mask.get, other)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -104,9 +112,9 @@ def survey(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, int,
         total, uses, n, passages = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64), 0, 0
         place = np.empty(DOCS << BITS, np.int32)
         for part in slices(batches, DOCS):
-            found = [bucket(words(t)) for t in part.column("__text").to_pylist()]
+            found = words_each(part.column("__text").to_pylist())
             sizes = np.array([len(x) for x in found], np.int64)
-            flat = np.concatenate(found)
+            flat = bucket(np.concatenate(found))
             n += len(found)
             uses += np.bincount(flat, minlength=DIM)
             # of the places of a word in a document the last one stays written
@@ -149,8 +157,8 @@ def _cut(sizes: np.ndarray) -> np.ndarray:
 def _added(z: np.ndarray, flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray, q: np.ndarray) -> None:
     """Add A'(A q) to ``z``, where the rows of A are the normalised TF-IDF vectors of passages: buckets, and words of each."""
     ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
-    for at in range(0, len(sizes), 1024):
-        some = sizes[at : at + 1024]
+    for at in range(0, len(sizes), BLOCK):
+        some = sizes[at : at + BLOCK]
         b = flat[ends[at] : ends[at + len(some)]].astype(np.uint32)
         keep = idf[b] > 0
         key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint32), some)[keep] << np.uint32(BITS)) + b[keep])
@@ -170,17 +178,25 @@ def _added(z: np.ndarray, flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray,
 
 
 def _sums(table: np.ndarray, at: np.ndarray, weights: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Weighted sums of the rows ``at`` of a table from each head to the next; runs of one length together."""
+    """Weighted sums of the rows ``at`` of a table from each head to the next; runs of one length together.
+
+    Rows are taken into a space small enough for the processor's cache, which is most of the speed.
+    """
     out = np.empty((len(heads), table.shape[1]), np.float32)
     sizes = np.diff(np.append(heads, len(at)))
-    for size in np.flatnonzero(np.bincount(sizes)).tolist():
-        some = np.flatnonzero(sizes == size)
-        if size == 1:
-            alone = heads[some]
-            out[some] = weights[alone][:, None] * table[at[alone]]
-            continue
-        run = heads[some][:, None] + np.arange(size)
-        out[some] = np.matmul(weights[run][:, None, :], table[at[run]])[:, 0]
+    order = np.argsort(sizes, kind="stable")
+    kinds, first = np.unique(sizes[order], return_index=True)
+    space = np.empty((max(GATHER, int(kinds[-1])), table.shape[1]), np.float32)
+    for size, low, high in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        each = max(1, GATHER // size)
+        for k in range(low, high, each):
+            some = order[k : min(k + each, high)]
+            run = heads[some][:, None] + np.arange(size)
+            rows = np.take(table, at[run].ravel(), axis=0, mode="clip", out=space[: run.size])  # any but "raise" fills it directly
+            if size == 1:
+                out[some] = weights[run] * rows
+            else:
+                out[some] = np.matmul(weights[run][:, None, :], rows.reshape(*run.shape, -1))[:, 0]
     return out
 
 
@@ -197,8 +213,10 @@ def basis(passages: DataFrame, share: float, idf: np.ndarray, items: list[Item],
         def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
             z = np.zeros((DIM, rank), np.float32)
             for part in slices(batches, 16):
-                for flat, sizes in zip(part.column("words"), part.column("sizes"), strict=True):
-                    _added(z, np.frombuffer(flat.as_buffer(), np.uint16), np.frombuffer(sizes.as_buffer(), np.uint8), idf, q)
+                flat, sizes = (
+                    np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(name)]) for name, kind in (("words", np.uint16), ("sizes", np.uint8))
+                )
+                _added(z, flat, sizes, idf, q)
             for k in range(32):
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "z": pa.array([z[k * rows_per : (k + 1) * rows_per].tobytes()], pa.binary())})
 
@@ -363,24 +381,38 @@ def sown(found: list[np.ndarray], index: Seeds) -> Iterator[tuple[int, int, int,
     yield from zip(doc[heads].tolist(), item[heads].tolist(), (first[tails] - start).tolist(), (last[heads] - start).tolist(), strict=True)
 
 
+def reachable(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """The windows, of projection and squared norm, that an item of so large a squared length can be a candidate for.
+
+    A dot product is at most the product of the lengths, so no other window reaches its norm; a thousandth is left for rounding.
+    """
+    latent = vectors[:, :-1]
+    return np.flatnonzero(np.einsum("ij,ij->i", latent, latent) * (1.001 * longest) >= np.maximum(vectors[:, -1], 1e-9))
+
+
 def search(texts: list[str | None], index: Index) -> list[list[tuple[int, float, float]]]:
     """Per text its leaks: (item number, share of the item in the longest common subsequence, cosine)."""
-    found = [words(t) for t in texts]
+    found = words_each(texts)
     steps = np.array([-(-len(w) // STEP) for w in found])
     flat = np.full(int(steps.sum()) * STEP, DIM, np.int64)
     starts = np.concatenate([[0], np.cumsum(steps)])
-    for w, s in zip(found, starts, strict=False):
-        flat[s * STEP : s * STEP + len(w)] = bucket(w)
+    for w, s in zip(found, (starts * STEP).tolist(), strict=False):
+        flat[s : s + len(w)] = bucket(w)
     rank = index.weights.shape[1]
     sums = np.empty((len(flat) // STEP, rank + 1), np.float32)  # projections, and squared norms
-    for at in range(0, len(sums), 4096):
-        some = flat[at * STEP : (at + 4096) * STEP]
-        sums[at : at + 4096, :rank] = index.weights[some].reshape(-1, STEP, rank).sum(axis=1)
-        sums[at : at + 4096, rank] = index.squares[some].reshape(-1, STEP).sum(axis=1)
+    sums[:, rank] = index.squares[flat].reshape(-1, STEP).sum(axis=1)
+    space = np.empty((GATHER, rank), np.float32)
+    for at in range(0, len(flat), GATHER):
+        some = flat[at : at + GATHER]
+        rows = np.take(index.weights, some, axis=0, mode="clip", out=space[: len(some)])
+        sums[at // STEP : (at + GATHER) // STEP, :rank] = rows.reshape(-1, STEP, rank).sum(axis=1)
     owner = np.repeat(np.arange(len(texts)), steps)
     near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    longest = float((index.vectors**2).sum(axis=1).max())
 
     def compare(vectors: np.ndarray, docs: np.ndarray, first: np.ndarray, size: int) -> None:
+        able = reachable(vectors, longest)
+        vectors, docs, first = vectors[able], docs[able], first[able]
         for at in range(0, len(vectors), 8192):
             dots = vectors[at : at + 8192, :rank] @ index.vectors.T
             norm = np.sqrt(np.maximum(vectors[at : at + 8192, rank], 1e-9))[:, None]

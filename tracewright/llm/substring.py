@@ -34,7 +34,7 @@ from tracewright.llm.common import slices, with_id, words_of, written_table
 LENGTH, PERIOD, ANCHOR = 35, 21, 15
 COVER = (0, 1, 4, 14, 16)  # each residue modulo 21 is a difference of two of these
 PACK_CHARS = 3_000_000
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES, GROUP_BYTES = 1 << 19, 1 << 17
 _MULT = 0x9E3779B97F4A7C15 | 1
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 _SPACE = np.zeros(256, bool)
@@ -83,9 +83,29 @@ def _hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 bytes; words are runs without ASCII white space."""
+    return _word_hashes(raw)[0]
+
+
+def word_hashes_each(raws: list[bytes]) -> list[np.ndarray]:
+    """``word_hashes`` of each, made for GROUP_BYTES of them together: short texts cost little besides their bytes."""
+    out: list[np.ndarray] = []
+    ends = np.cumsum([len(x) + 1 for x in raws])
+    at = 0
+    while at < len(raws):
+        low = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, low + GROUP_BYTES, "right")))
+        found, starts = _word_hashes(b" ".join(raws[at:stop]))
+        cuts = [0, *np.searchsorted(starts, ends[at:stop] - low).tolist()]
+        out += [found[a:b] for a, b in zip(cuts, cuts[1:])]
+        at = stop
+    return out
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the byte at which it starts."""
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
     edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -97,7 +117,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         prefix = _prefix(data[low : ends[stop - 1]].astype(np.uint64) + np.uint64(1))
         out.append(_hashes(prefix, starts[at:stop] - low, ends[at:stop] - low))
         at = stop
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), starts
 
 
 class Pack:
